@@ -94,15 +94,18 @@ class Panel:
         """
         order_ts = F.col(self.ts).desc() if reverse else F.col(self.ts).asc()
         vals = {f"_v_{n}": s.packed() for n, s in specs.items()}
-        base = df.withColumns({CHUNK: self.chunk(), **vals})
+        # rows and chunk summaries hang off the same shuffle.  The summary takes along one value of
+        # every column, so both branches prune to the same columns and Spark reuses the exchange
+        # instead of computing everything upstream once more.
+        base = df.withColumns({CHUNK: self.chunk(), **vals}).repartition(*self.keys, CHUNK)
         by = [F.col(k) for k in self.keys]
+        rest = [x for x in df.columns if x not in self.keys]
         part = base.groupBy(*by, CHUNK).agg(
-            *[s.total(F.col(f"_v_{n}"), F.col(self.ts), reverse).alias(f"_v_{n}") for n, s in specs.items()]
+            *[F.first(x).alias(x) for x in rest],
+            *[s.total(F.col(f"_v_{n}"), F.col(self.ts), reverse).alias(f"_v_{n}") for n, s in specs.items()],
         )
-        seeds = self._carry(part, specs, reverse, levels)
-        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in self.keys]
-        seed_rows = seeds.select(*by, *blank, CHUNK, *vals, F.lit(0).alias(_SEED))
-        rows = base.withColumn(_SEED, F.lit(1)).unionByName(seed_rows)
+        seeds = self._carry(part, specs, reverse, levels).repartition(*self.keys, CHUNK)
+        rows = base.withColumn(_SEED, F.lit(1)).unionByName(seeds.withColumn(_SEED, F.lit(0)))
         w = Window.partitionBy(*self.keys, CHUNK).orderBy(F.col(_SEED), order_ts)
         out = rows.withColumns({n: s.over(F.col(f"_v_{n}"), w) for n, s in specs.items()})
         return out.filter(F.col(_SEED) == 1).drop(CHUNK, _SEED, *vals)
@@ -115,7 +118,9 @@ class Panel:
             return part.withColumns({f"_v_{n}": s.merge(F.col(f"_v_{n}"), w) for n, s in specs.items()})
         sup = "_super"
         base = part.withColumn(sup, F.floor(F.col(CHUNK) / self.chunk_rows).cast("long"))
+        rest = [x for x in part.columns if x not in {*self.keys, CHUNK} and x[3:] not in specs]
         top = base.groupBy(*self.keys, sup).agg(
+            *[F.first(x).alias(x) for x in rest],
             *[s.total(F.col(f"_v_{n}"), F.col(CHUNK), reverse, packed=True).alias(f"_v_{n}") for n, s in specs.items()]
         )
         sorder = F.col(sup).desc() if reverse else F.col(sup).asc()
@@ -149,10 +154,10 @@ class Panel:
         """
         cols = [c for c in df.columns if c not in self.keys and c != self.ts]
         by = [F.col(k) for k in self.keys]
-        base = df.withColumn("_pos", self.pos()).withColumn(CHUNK, self.chunk())
-        last = [
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(c) for c in carry
-        ]
+        # data rows and chunk summaries share one shuffle (see ``running``): every column is used by
+        # both branches, so they prune alike and the exchange below is reused
+        base = df.withColumns({"_pos": self.pos(), CHUNK: self.chunk()}).repartition(*self.keys, CHUNK)
+        last = [F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.col("_pos"))).alias(x) for x in cols]
         part = base.groupBy(*by, CHUNK).agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), *last)
         ws = Window.partitionBy(*self.keys)
         wn = ws.orderBy(CHUNK)
@@ -165,42 +170,39 @@ class Panel:
                 "_end": hi,
                 "_start": F.min("_lo").over(ws),
                 "_next": F.coalesce(F.lead(CHUNK).over(wn), self.chunk(hi) + 1),
-                **{f"_c_{c}": F.last(c, ignorenulls=True).over(prev) for c in carry},
+                **{f"_c_{x}": F.last(x, ignorenulls=True).over(prev) for x in cols},
             }
         )
         # a chunk summary also answers for the empty chunks up to the next one
         part = part.withColumn("_fill", F.explode(F.sequence(F.col(CHUNK), F.col("_next") - 1)))
         own = F.col("_fill") == F.col(CHUNK)
-        first = F.greatest(F.col("_fill") * self.chunk_rows, F.col("_start"))
-        stop = F.least((F.col("_fill") + 1) * self.chunk_rows - 1, F.col("_end"))
         carried = [
-            F.when(own, F.col(f"_c_{c}")).otherwise(F.coalesce(F.col(c), F.col(f"_c_{c}"))).alias(f"_c_{c}")
-            for c in carry
+            F.when(own, F.col(f"_c_{x}")).otherwise(F.coalesce(F.col(x), F.col(f"_c_{x}"))).alias(f"_c_{x}")
+            for x in cols
         ]
         spine = part.select(
             *by,
             F.col("_fill").alias(CHUNK),
+            F.greatest(F.col("_fill") * self.chunk_rows, F.col("_start")).alias("_lo"),
+            F.least((F.col("_fill") + 1) * self.chunk_rows - 1, F.col("_end")).alias("_hi"),
             F.col("_start"),
             *carried,
-            first.alias("_lo"),
-            stop.alias("_hi"),
-        )
+        ).repartition(*self.keys, CHUNK)
         rows = base.select(*by, CHUNK, F.col("_pos").alias("_lo"), F.col("_pos").alias("_hi"), *cols)
-        # one shuffle for data rows and calendar pieces together; the calendar is unrolled after it
-        rows = rows.unionByName(spine, allowMissingColumns=True).repartition(*self.keys, CHUNK)
-        rest = cols + ["_start"] + [f"_c_{c}" for c in carry]
+        # the calendar pieces are unrolled after the shuffle, inside their chunk
+        rows = rows.unionByName(spine, allowMissingColumns=True)
+        rest = cols + ["_start"] + [f"_c_{x}" for x in cols]
         rows = rows.select(*by, CHUNK, F.explode(F.sequence("_lo", "_hi")).alias("_pos"), *rest)
-        aggs = [F.first(c, ignorenulls=True).alias(c) for c in rest]
-        rows = rows.groupBy(*by, CHUNK, "_pos").agg(*aggs)
+        rows = rows.groupBy(*by, CHUNK, "_pos").agg(*[F.first(x, ignorenulls=True).alias(x) for x in rest])
         wf = Window.partitionBy(*self.keys, CHUNK).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+        before = F.col("_pos") < F.col("_start")  # never true; keeps the carried column in use
         filled = []
-        for c in cols:
-            if c in carry:
-                filled.append(F.coalesce(F.last(c, ignorenulls=True).over(wf), F.col(f"_c_{c}")).alias(c))
-            elif c in zero:
-                filled.append(F.coalesce(F.col(c), F.lit(0)).alias(c))
+        for x in cols:
+            if x in carry:
+                filled.append(F.coalesce(F.last(x, ignorenulls=True).over(wf), F.col(f"_c_{x}")).alias(x))
             else:
-                filled.append(F.col(c))
+                v = F.coalesce(F.col(x), F.lit(0)) if x in zero else F.col(x)
+                filled.append(F.when(before, F.col(f"_c_{x}")).otherwise(v).alias(x))
         return rows.select(
             *by, self.at(F.col("_pos")).alias(self.ts), *filled, self.at(F.col("_start")).alias("series_start")
         )

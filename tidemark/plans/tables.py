@@ -9,6 +9,7 @@ from tidemark.functions import rolling as R
 from tidemark.operators.registry import Registry
 from tidemark.panel import DAILY, HOURLY
 from tidemark.sources.bars import attach_sources, bars
+from tidemark.stage import staged_once
 
 c = F.col
 
@@ -26,9 +27,12 @@ def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense daily bars of orders by priority."""
-    return DAILY.fill_grid(
-        order_bars(spark, sf_dir), carry=["open", "high", "low", "close"], zero=["volume", "n_obs"]
+    """Dense daily bars of orders by priority, staged."""
+    return staged_once(
+        spark, "panel", (sf_dir,),
+        lambda: DAILY.fill_grid(
+            order_bars(spark, sf_dir), carry=["open", "high", "low", "close"], zero=["volume", "n_obs"]
+        ),
     )
 
 
@@ -113,13 +117,15 @@ def daily_metrics(spark: SparkSession, sf_dir: str, names=None) -> DataFrame:
 
 
 def metric_panel(spark: SparkSession, sf_dir: str, names) -> DataFrame:
-    """The price panel with outside metrics joined on the day and carried forward."""
+    """The price panel with outside metrics joined on the day and carried forward, staged."""
     from tidemark.panel import Running
 
-    names = list(names)
-    wide, _ = attach_sources(panel(spark, sf_dir), ["ts"], {"metrics": daily_metrics(spark, sf_dir, names)})
-    out = DAILY.running(wide, {f"_f_{n}": Running(c(n), "last") for n in names})
-    return out.withColumns({n: c(f"_f_{n}") for n in names}).drop(*[f"_f_{n}" for n in names])
+    def make():
+        wide, _ = attach_sources(panel(spark, sf_dir), ["ts"], {"metrics": daily_metrics(spark, sf_dir)})
+        out = DAILY.running(wide, {f"_f_{n}": Running(c(n), "last") for n in METRICS})
+        return out.withColumns({n: c(f"_f_{n}") for n in METRICS}).drop(*[f"_f_{n}" for n in METRICS])
+
+    return staged_once(spark, "metric_panel", (sf_dir,), make).select(*panel(spark, sf_dir).columns, *names)
 
 
 def sql_metric_panel(names) -> str:
@@ -185,11 +191,14 @@ START = "1996-01-01"
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothed price with a slope-based forecast, and the daily cash rate."""
+    """Smoothed price with a slope-based forecast, and the daily cash rate; staged."""
     from tidemark.operators.accounting import accrual
 
-    s, _ = _SIG.build(panel(spark, sf_dir), DAILY, SIGNAL_COLUMNS)
-    return s.filter(c("pred").isNotNull()).withColumn("cash_rate", accrual(rate_expr(c("ts")), c("ts")))
+    def make():
+        s, _ = _SIG.build(panel(spark, sf_dir), DAILY, SIGNAL_COLUMNS)
+        return s.filter(c("pred").isNotNull()).withColumn("cash_rate", accrual(rate_expr(c("ts")), c("ts")))
+
+    return staged_once(spark, "signals", (sf_dir,), make)
 
 
 SQL_SIGNALS = SQL_PANEL + f""", px AS (
@@ -217,9 +226,12 @@ signals AS (SELECT * FROM sg WHERE pred IS NOT NULL)"""
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision log of the signals, staged."""
     from tidemark.operators.decisions import decide
 
-    return decide(signals(spark, sf_dir), DAILY, start=START, carry=["vol30"])
+    return staged_once(
+        spark, "decisions", (sf_dir,), lambda: decide(signals(spark, sf_dir), DAILY, start=START, carry=["vol30"])
+    )
 
 
 SQL_DECISIONS = SQL_SIGNALS + f""", rng AS (SELECT * FROM signals WHERE ts >= DATE '{START}'),
