@@ -54,10 +54,25 @@ def median(x, w, n, m=None):
 
 
 def corr(x, y, w, n, m=None):
-    """Pearson correlation over complete pairs."""
-    pair = F.when(_c(x).isNotNull() & _c(y).isNotNull(), F.lit(1))
+    """Pearson correlation over complete pairs; null when either side does not vary."""
     f = frame(w, n)
-    return F.when(F.count(pair).over(f) >= (n if m is None else m), F.corr(_c(x), _c(y)).over(f))
+    return F.when(F.count(_pair(x, y, _c(x))).over(f) >= (n if m is None else m), pearson(x, y, f))
+
+
+def _pair(x, y, v):
+    return F.when(_c(x).isNotNull() & _c(y).isNotNull(), v)
+
+
+def pearson(x, y, f: WindowSpec | None = None) -> Column:
+    """corr() fails on a constant input under ANSI arithmetic, so the ratio is written out."""
+    over = (lambda e: e) if f is None else (lambda e: e.over(f))
+    cov = over(F.covar_pop(_c(x), _c(y)))
+    return F.try_divide(cov, over(F.stddev_pop(_pair(x, y, _c(x)))) * over(F.stddev_pop(_pair(x, y, _c(y)))))
+
+
+def quantiles(x, qs, w, n, m=None) -> Column:
+    """Several quantiles of one frame as an array: the frame is sorted once."""
+    return gated(F.percentile(_c(x), F.array(*[F.lit(q) for q in qs])), x, w, n, m)
 
 
 def zscore(x, w, n, m=None):

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions.scalars import clip, div, flag
-from tidemark.operators.registry import FEATURES as reg
+from tidemark.operators.registry import FEATURES
+
+reg = FEATURES
 
 YEAR = math.sqrt(365)
 c = F.col
@@ -208,7 +210,8 @@ for p in (1, 7, 30):
 
 def clipped_by_quantiles(x, s, lo=0.01, hi=0.99, n=365, m=30):
     """Bound by rolling quantiles; no bound where there is too little history."""
-    return clip(x, R.quantile(x, lo, s.w, n, m), R.quantile(x, hi, s.w, n, m))
+    b = R.quantiles(x, [lo, hi], s.w, n, m)
+    return clip(x, b[0], b[1])
 
 
 reg.add("oi_change_1d", "_oi_change_1", lambda s: c("_oi_change_1"))
@@ -371,12 +374,10 @@ reg.add("rsi_regime_normalized", "rsi_14d", lambda s: div("rsi_14d", R.mean("rsi
 reg.add("trend_strength", "adx hurst_30d", lambda s: c("adx") * F.coalesce("hurst_30d", F.lit(0.5)))
 reg.add("mean_reversion_score", "adx hurst_30d", lambda s: (1 - c("hurst_30d")) * (50 - clip("adx", F.lit(0.0), F.lit(50.0))) / 50)
 reg.add("mvrv_hurst_signal", "mvrv_zscore hurst_30d", lambda s: c("mvrv_zscore") * c("hurst_30d"))
+reg.add("_vol_terciles", "volatility_30d", lambda s: R.quantiles("volatility_30d", [0.33, 0.66], s.w, 365, 60), back=365)
 reg.add(
-    "vol_regime", "volatility_30d",
-    lambda s: F.when(c("volatility_30d") > R.quantile("volatility_30d", 0.66, s.w, 365, 60), 2)
-    .when(c("volatility_30d") < R.quantile("volatility_30d", 0.33, s.w, 365, 60), 0)
-    .otherwise(1),
-    back=365,
+    "vol_regime", "volatility_30d _vol_terciles",
+    lambda s: F.when(c("volatility_30d") > c("_vol_terciles")[1], 2).when(c("volatility_30d") < c("_vol_terciles")[0], 0).otherwise(1),
 )
 reg.add("funding_x_oi", "funding_rate oi_change_7d", lambda s: c("funding_rate") * c("oi_change_7d"))
 reg.add("funding_basis_spread", "funding_rate basis_pct", lambda s: c("funding_rate") - c("basis_pct"))
@@ -427,10 +428,10 @@ for n in (30, 60):
     # the spread of d + theta (x - mu) does not depend on mu
     reg.add(
         f"ou_sigma_{n}d", f"_theta_{n} {ou}",
-        lambda s, n=n: F.sqrt(F.greatest(
+        lambda s, n=n: F.when(c(f"_theta_{n}").isNotNull(), F.sqrt(F.greatest(
             c(f"_ou_sdd_{n}") + 2 * c(f"_theta_{n}") * c(f"_ou_sxd_{n}") + c(f"_theta_{n}") * c(f"_theta_{n}") * c(f"_ou_sxx_{n}"),
             F.lit(0.0),
-        )),
+        ))),
     )
 reg.add("_pct_8", "close", lambda s: R.pct_change("close", s.w, 8), back=8)
 reg.add(

@@ -104,7 +104,7 @@ METRICS = {
     "google_trend": "max(l_quantity) * 2",
     "global_ls_ratio": "avg(l_quantity) / 25",
     "global_long_pct": "avg(l_quantity) / 45",
-    "top_traders_ls_ratio": "avg(l_extendedprice) / 40000",
+    "top_traders_ls_ratio": "avg(l_extendedprice) / 41000",
     "futures_taker_ratio": "avg(l_quantity) / 25",
     "taker_buy": "sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END)",
 }
