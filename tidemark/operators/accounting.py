@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip, div
 from tidemark.operators.joins import asof, asof_global
-from tidemark.panel import Panel, Running
+from tidemark.panel import ROW_DAY, Panel, Running, numbered
 
 c = F.col
 
@@ -68,17 +68,14 @@ def repaired_cash(df: DataFrame, panel: Panel, strat: str, alloc: str, asset: st
     a, s = c(alloc), c(strat)
     raw = F.when(a <= 0.001, s).when(a < 0.9, (s - a * c(asset)) / (1 - a))
     df = df.withColumn("_raw", clip(raw, F.lit(0.0), F.lit(0.008)))
-    # eight decision rows: irregular spacing, so the frame is taken over the row number
-    df = panel.running(df, {"_n": Running(F.lit(1), "count")})
-    numbered = Panel(panel.keys, "_n_ts", "day", panel.chunk_rows)
-    df = df.withColumn("_n_ts", F.date_from_unix_date(c("_n").cast("int")))
-    f = numbered.halo(df, 8)
-    med8 = F.percentile("_raw", F.lit(0.5)).over(numbered.window().rowsBetween(-7, 0))
-    f = numbered.owned(f.withColumn("_m8", med8))
+    df, rows = numbered(df, panel)
+    f = rows.halo(df, 8)
+    med8 = F.percentile("_raw", F.lit(0.5)).over(rows.window().rowsBetween(-7, 0))
+    f = rows.owned(f.withColumn("_m8", med8)).drop(ROW_DAY)
     med = f.groupBy(*panel.keys).agg(F.percentile("_raw", F.lit(0.5)).alias("_m"))
     f = f.join(med, list(panel.keys), "left")
     fixed = F.when(s.isNotNull(), F.coalesce("_raw", "_m8", "_m"))
-    return f.withColumn(out, fixed).drop("_raw", "_n", "_n_ts", "_m8", "_m")
+    return f.withColumn(out, fixed).drop("_raw", "_m8", "_m")
 
 
 def geometric_daily(period: Column, n_days: Column) -> Column:

@@ -51,7 +51,7 @@ def apply_kernels(df: DataFrame, panel: Panel, kernels: Sequence[Kernel]) -> Dat
         rows = np.flatnonzero(own)
         out = pdf.loc[own, [c for c in pdf.columns if c not in (CHUNK, OWN)]].copy()
         for k in kernels:
-            out[k.name] = _roll(values[k.column], rows, k)
+            out[k.name] = _roll(values[k.column], rows, k)[own]
         return out[names]
 
     return frame.groupBy(*panel.keys, CHUNK).applyInPandas(run, schema)

@@ -208,6 +208,20 @@ class Panel:
         )
 
 
+ROW_DAY = "_row_day"
+
+
+def numbered(df: DataFrame, panel: Panel) -> tuple[DataFrame, Panel]:
+    """Row windows over rows that are not on the grid (decisions, closed periods).
+
+    Rows are numbered by a running count and the number becomes the grid position, so ``halo``
+    works on them.  The helper column is ``ROW_DAY``.
+    """
+    df = panel.running(df, {ROW_DAY: Running(F.lit(1), "count")})
+    df = df.withColumn(ROW_DAY, F.date_from_unix_date(F.col(ROW_DAY).cast("int")))
+    return df, Panel(panel.keys, ROW_DAY, "day", panel.chunk_rows)
+
+
 @dataclass(frozen=True)
 class Running:
     """One cumulative column: ``kind`` of (value) over everything up to the row.
