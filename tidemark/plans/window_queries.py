@@ -165,7 +165,7 @@ def _rank_sql(x: str, n: int) -> str:
 @query(
     "percent_ranks", "series_id ts price_percentile_1y:8 price_percentile_2y:8 vol_percentile_1y:8",
     f"""WITH {t.SQL_PANEL}, r AS (SELECT *, ln(close / lag(close) OVER {ORD}) AS return_1d FROM panel),
-        v AS (SELECT *, {std('return_1d', 30)} AS vol FROM r),
+        v AS (SELECT *, round(({std('return_1d', 30)}) * sqrt(365.0), 9) AS vol FROM r),
         l AS (SELECT *, list(close) OVER {win(365)} AS l1, list(close) OVER {win(730)} AS l2, list(vol) OVER {win(365)} AS l3,
               count(close) OVER {win(365)} AS n1, count(close) OVER {win(730)} AS n2, count(vol) OVER {win(365)} AS n3 FROM v)
         SELECT series_id, ts,
@@ -176,6 +176,7 @@ def _rank_sql(x: str, n: int) -> str:
 def percent_ranks(spark, sf_dir):
     base, _ = FEATURES.build(t.panel(spark, sf_dir), DAILY, ["volatility_30d"], keep=["close"])
     # deviations that differ only in the last bits would break ties differently on each engine
+    base = base.withColumn("volatility_30d", F.round("volatility_30d", 9))
     return kernels.apply_kernels(base, DAILY, kernels.RANK_KERNELS)
 
 
