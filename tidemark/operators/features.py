@@ -278,6 +278,7 @@ reg.add("real_yield_10y", "us10y breakeven_10y", lambda s: c("us10y") - c("break
 for a in ("sp500", "gold", "dxy", "eth", "vix"):
     reg.add(f"_chg_{a}", a, lambda s, a=a: R.pct_change(a, s.w, 1), back=1)
     reg.add(f"btc_{a}_corr_30d", f"return_1d _chg_{a}", lambda s, a=a: R.corr("return_1d", f"_chg_{a}", s.w, 30), back=30)
+reg.add("btc_gold_corr_30d_simple", "simple_return_1d _chg_gold", lambda s: R.corr("simple_return_1d", "_chg_gold", s.w, 30), back=30)
 reg.add("btc_sp500_corr_90d", "return_1d _chg_sp500", lambda s: R.corr("return_1d", "_chg_sp500", s.w, 90), back=90)
 for p in (7, 30):
     reg.add(f"fear_greed_ma{p}", "fear_greed", lambda s, p=p: R.mean("fear_greed", s.w, p), back=p)

@@ -30,7 +30,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, qs: Sequence[float
         F.percentile_approx("_v", lows, F.lit(_ACCURACY)).alias("_lo"),
         F.percentile_approx("_v", highs, F.lit(_ACCURACY)).alias("_hi"),
     )
-    small = c("_n") <= _ACCURACY // 4
+    # the pad is 2 n / accuracy ranks, twice the sketch error; below this size that is too few ranks
+    # to be sure of, and the whole group is small enough to be its own bracket
+    small = c("_n") <= 5 * _ACCURACY
     marks = F.array(
         *[
             F.struct(

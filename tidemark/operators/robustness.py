@@ -8,10 +8,11 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import div, norm_cdf, normal_hash, unit_hash
-from tidemark.operators.accounting import period_return, summary
-from tidemark.operators.decisions import allocation, confidence
+from tidemark.operators.accounting import summary
+from tidemark.operators.decisions import allocation, confidence, period_return
 from tidemark.panel import Panel, Running
 
 c = F.col
@@ -204,7 +205,7 @@ def against_baseline(df: DataFrame, by: Sequence[str], seed: str, variant: str,
     return j.groupBy(*by, variant).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_delta"), F.count_if(d > 0).alias("wins"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided, for aggregated rows."""
     from tidemark.functions.special import t_two_sided
@@ -212,7 +213,7 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(float), dof.to_numpy(float)))
 
 
-@F.pandas_udf("struct<low: double, high: double>")
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def binomial_ci(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Exact 95 % interval of a hit rate, for aggregated rows."""
     from tidemark.functions.special import binomial_interval

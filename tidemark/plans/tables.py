@@ -106,6 +106,8 @@ METRICS = {
     "global_long_pct": "avg(l_quantity) / 45",
     "top_traders_ls_ratio": "avg(l_extendedprice) / 41000",
     "futures_taker_ratio": "avg(l_quantity) / 25",
+    "reserve_risk": "CASE WHEN CAST(l_shipdate AS DATE) >= DATE '1996-04-19' THEN avg(l_tax) END",
+    "puell_raw": "CASE WHEN CAST(l_shipdate AS DATE) >= DATE '1996-04-19' THEN avg(l_discount) * 20 END",
     "taker_buy": "sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END)",
 }
 
