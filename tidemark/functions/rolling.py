@@ -14,9 +14,41 @@ def frame(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
+class Shared:
+    """Window columns asked for while active, each kept once.
+
+    Spark evaluates a window expression as often as it is written, and formulas write the same mean
+    or count several times.  Inside ``with Shared() as s`` every request becomes a named column;
+    ``s.columns`` holds them, to be added before the expressions that use them.
+    """
+
+    _active: "Shared | None" = None
+
+    def __init__(self, prefix: str = "_w"):
+        self.prefix, self.columns, self._names = prefix, {}, {}
+
+    def __enter__(self):
+        Shared._active = self
+        return self
+
+    def __exit__(self, *exc):
+        Shared._active = None
+
+    def get(self, agg: Column, w: WindowSpec, n: int) -> Column:
+        key = (str(agg), id(w), n)
+        if key not in self._names:
+            self._names[key] = name = f"{self.prefix}{len(self._names)}"
+            self.columns[name] = agg.over(frame(w, n))
+        return F.col(self._names[key])
+
+
+def over(agg: Column, w: WindowSpec, n: int) -> Column:
+    """An aggregate over the last n rows, shared with equal requests where sharing is on."""
+    return Shared._active.get(agg, w, n) if Shared._active else agg.over(frame(w, n))
+
+
 def gated(agg: Column, x, w: WindowSpec, n: int, min_count: int | None = None) -> Column:
-    f = frame(w, n)
-    return F.when(F.count(_c(x)).over(f) >= (n if min_count is None else min_count), agg.over(f))
+    return F.when(over(F.count(_c(x)), w, n) >= (n if min_count is None else min_count), over(agg, w, n))
 
 
 def mean(x, w, n, m=None):
@@ -55,19 +87,18 @@ def median(x, w, n, m=None):
 
 def corr(x, y, w, n, m=None):
     """Pearson correlation over complete pairs; null when either side does not vary."""
-    f = frame(w, n)
-    return F.when(F.count(_pair(x, y, _c(x))).over(f) >= (n if m is None else m), pearson(x, y, f))
+    at = lambda e: over(e, w, n)
+    return F.when(at(F.count(_pair(x, y, _c(x)))) >= (n if m is None else m), pearson(x, y, at))
 
 
 def _pair(x, y, v):
     return F.when(_c(x).isNotNull() & _c(y).isNotNull(), v)
 
 
-def pearson(x, y, f: WindowSpec | None = None) -> Column:
+def pearson(x, y, at=lambda e: e) -> Column:
     """corr() fails on a constant input under ANSI arithmetic, so the ratio is written out."""
-    over = (lambda e: e) if f is None else (lambda e: e.over(f))
-    cov = over(F.covar_pop(_c(x), _c(y)))
-    return F.try_divide(cov, over(F.stddev_pop(_pair(x, y, _c(x)))) * over(F.stddev_pop(_pair(x, y, _c(y)))))
+    cov = at(F.covar_pop(_c(x), _c(y)))
+    return F.try_divide(cov, at(F.stddev_pop(_pair(x, y, _c(x)))) * at(F.stddev_pop(_pair(x, y, _c(y)))))
 
 
 def quantiles(x, qs, w, n, m=None) -> Column:
@@ -81,7 +112,7 @@ def zscore(x, w, n, m=None):
 
 def values(x, w, n) -> Column:
     """The frame as an array (nulls dropped); for short frames only."""
-    return F.collect_list(_c(x)).over(frame(w, n))
+    return over(F.collect_list(_c(x)), w, n)
 
 
 def pct_change(x, w, k: int) -> Column:

@@ -40,7 +40,8 @@ def norm_cdf(x) -> Column:
     """Standard normal distribution function.
 
     Spark has no erf; Hart's (1968) rational approximation in the form published by West
-    ("Better approximations to cumulative normal functions", 2005) is accurate to 1e-15.
+    ("Better approximations to cumulative normal functions", 2005) is accurate to 1e-15.  The argument
+    is written out many times: pass a column, not a long expression.
     """
     x = _c(x).cast("double")
     z = F.abs(x)
@@ -63,41 +64,6 @@ def norm_cdf(x) -> Column:
     return F.when(x.isNull(), F.lit(None)).when(x > 0, 1 - upper).otherwise(upper)
 
 
-def norm_ppf(p) -> Column:
-    """Inverse normal distribution function: Acklam's (2003) rational approximation plus one
-    Halley step, which brings it to full double precision."""
-    p = _c(p).cast("double")
-    # fixed values: coefficients of the published approximation
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01, 1.0]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00, 1.0]
-
-    def poly(cs, v):
-        acc = F.lit(cs[0])
-        for k in cs[1:]:
-            acc = acc * v + F.lit(k)
-        return acc
-
-    q = p - 0.5
-    r = q * q
-    central = poly(a, r) * q / poly(b, r)
-    ql = F.sqrt(-2 * F.ln(p))
-    qh = F.sqrt(-2 * F.ln(1 - p))
-    x0 = (
-        F.when(p < 0.02425, poly(c, ql) / poly(d, ql))
-        .when(p > 1 - 0.02425, -poly(c, qh) / poly(d, qh))
-        .otherwise(central)
-    )
-    err = norm_cdf(x0) - p
-    u = err * math.sqrt(2 * math.pi) * F.exp(x0 * x0 / 2)
-    return F.when((p > 0) & (p < 1), x0 - u / (1 + x0 * u / 2))
-
-
 def unit_hash(*cols) -> Column:
     """Uniform (0,1) number from the md5 of the joined text: the same on every engine and under
     every partitioning.  52 bits are used, so the value is exact in a double."""

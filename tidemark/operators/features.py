@@ -145,7 +145,7 @@ for p in (14, 25, 30):
         reg.add(
             f"aroon_{side}_{p}", "close",
             lambda s, p=p, pick=pick: F.when(
-                F.count("close").over(R.frame(s.w, p + 1)) == p + 1, _first_extreme(s, p + 1, pick) / p * 100
+                R.over(F.count("close"), s.w, p + 1) == p + 1, _first_extreme(s, p + 1, pick) / p * 100
             ),
             back=p + 1,
         )
@@ -162,7 +162,7 @@ reg.add("_obv_step", "close _pc volume", lambda s: F.coalesce(F.signum(c("close"
 reg.add(
     "_obv_change", "_obv_step",
     lambda s: F.when(
-        F.count(F.lit(1)).over(R.frame(s.w, 21)) == 21, F.sum("_obv_step").over(R.frame(s.w, 20))
+        R.over(F.count(F.lit(1)), s.w, 21) == 21, R.over(F.sum("_obv_step"), s.w, 20)
     ),
     back=21,
     doc="a 20-row difference of a running sum is the sum of the last 20 steps",
@@ -395,8 +395,7 @@ reg.add("funding_extreme", "funding_rate", lambda s: flag(F.abs("funding_rate")
 
 def half_life(s, n, m):
     """From the slope b of log price on its own lag inside the window: -ln 2 / ln b in [1, 252]."""
-    pair = R.frame(s.w, n - 1)
-    b = F.when(F.count("_log_close").over(R.frame(s.w, n)) >= m, F.regr_slope("_log_close", "_lag_log").over(pair))
+    b = F.when(R.over(F.count("_log_close"), s.w, n) >= m, R.over(F.regr_slope("_log_close", "_lag_log"), s.w, n - 1))
     hl = F.when((b > 0) & (b < 1), -math.log(2) / F.ln(b))
     return clip(hl, F.lit(1.0), F.lit(252.0))
 
@@ -408,13 +407,13 @@ for n, m in ((30, 20), (60, 30), (20, 20), (50, 50), (100, 100)):
 for n in (30, 60):
     pair = n - 1
     reg.add(f"_mu_{n}", "_log_close", lambda s, n=n: R.mean("_log_close", s.w, n, 30), back=n)
-    reg.add(f"_ou_n_{n}", "_dlog", lambda s, n=n: F.count("_dlog").over(R.frame(s.w, n - 1)), back=n)
+    reg.add(f"_ou_n_{n}", "_dlog", lambda s, n=n: R.over(F.count("_dlog"), s.w, n - 1), back=n)
     # co-moments over the n-1 pairs; subtracting the pair means first avoids cancellation
-    reg.add(f"_ou_sxx_{n}", "_lag_log", lambda s, n=n: F.var_pop("_lag_log").over(R.frame(s.w, n - 1)), back=n)
-    reg.add(f"_ou_sxd_{n}", "_lag_log _dlog", lambda s, n=n: F.covar_pop("_lag_log", "_dlog").over(R.frame(s.w, n - 1)), back=n)
-    reg.add(f"_ou_sdd_{n}", "_dlog", lambda s, n=n: F.var_pop("_dlog").over(R.frame(s.w, n - 1)), back=n)
-    reg.add(f"_ou_mx_{n}", "_lag_log _dlog", lambda s, n=n: F.avg("_lag_log").over(R.frame(s.w, n - 1)), back=n)
-    reg.add(f"_ou_md_{n}", "_dlog", lambda s, n=n: F.avg("_dlog").over(R.frame(s.w, n - 1)), back=n)
+    reg.add(f"_ou_sxx_{n}", "_lag_log", lambda s, n=n: R.over(F.var_pop("_lag_log"), s.w, n - 1), back=n)
+    reg.add(f"_ou_sxd_{n}", "_lag_log _dlog", lambda s, n=n: R.over(F.covar_pop("_lag_log", "_dlog"), s.w, n - 1), back=n)
+    reg.add(f"_ou_sdd_{n}", "_dlog", lambda s, n=n: R.over(F.var_pop("_dlog"), s.w, n - 1), back=n)
+    reg.add(f"_ou_mx_{n}", "_lag_log _dlog", lambda s, n=n: R.over(F.avg("_lag_log"), s.w, n - 1), back=n)
+    reg.add(f"_ou_md_{n}", "_dlog", lambda s, n=n: R.over(F.avg("_dlog"), s.w, n - 1), back=n)
     ou = f"_mu_{n} _ou_sxx_{n} _ou_sxd_{n} _ou_sdd_{n} _ou_mx_{n} _ou_md_{n}"
 
     def _theta(n=n):
@@ -438,8 +437,8 @@ reg.add("_pct_8", "close", lambda s: R.pct_change("close", s.w, 8), back=8)
 reg.add(
     "variance_ratio_30d", "simple_return_1d _pct_8",
     lambda s: F.when(
-        F.count("simple_return_1d").over(R.frame(s.w, 29)) >= 16,
-        div(F.var_samp("_pct_8").over(R.frame(s.w, 22)) / 8, F.var_samp("simple_return_1d").over(R.frame(s.w, 29))),
+        R.over(F.count("simple_return_1d"), s.w, 29) >= 16,
+        div(R.over(F.var_samp("_pct_8"), s.w, 22) / 8, R.over(F.var_samp("simple_return_1d"), s.w, 29)),
     ),
     back=30,
     doc="lag 8 inside 30 prices: 29 one-step and 22 eight-step changes",
@@ -448,13 +447,13 @@ reg.add("_row", "ts", lambda s: s.panel.pos().cast("double"))
 for n, m in ((10, 10), (20, 20), (30, 10), (50, 50), (100, 100)):
     reg.add(
         f"trend_slope_{n}", "close _row",
-        lambda s, n=n, m=m: F.when(F.count("close").over(R.frame(s.w, n)) >= m,
-                                   div(F.regr_slope("close", "_row").over(R.frame(s.w, n)), F.avg("close").over(R.frame(s.w, n))) * 100),
+        lambda s, n=n, m=m: F.when(R.over(F.count("close"), s.w, n) >= m,
+                                   div(R.over(F.regr_slope("close", "_row"), s.w, n), R.over(F.avg("close"), s.w, n)) * 100),
         back=n,
     )
     reg.add(
         f"linear_r2_{n}", "close _row",
-        lambda s, n=n, m=m: F.when(F.count("close").over(R.frame(s.w, n)) >= m, F.regr_r2("close", "_row").over(R.frame(s.w, n))),
+        lambda s, n=n, m=m: F.when(R.over(F.count("close"), s.w, n) >= m, R.over(F.regr_r2("close", "_row"), s.w, n)),
         back=n,
     )
     reg.add(f"trend_angle_{n}", f"trend_slope_{n}", lambda s, n=n: F.degrees(F.atan(c(f"trend_slope_{n}") / 100)))
@@ -465,9 +464,9 @@ for n, m in ((10, 10), (20, 20), (30, 10), (50, 50), (100, 100)):
         f"_streak_{n}", "_same_dir _row",
         lambda s, n=n: F.least(
             c("_row") - F.coalesce(
-                F.max(F.when(c("_same_dir") == 0, c("_row"))).over(R.frame(s.w, n)), F.min("_row").over(R.frame(s.w, n)) 
+                R.over(F.max(F.when(c("_same_dir") == 0, c("_row"))), s.w, n), R.over(F.min("_row"), s.w, n) 
             ),
-            F.count("close").over(R.frame(s.w, n)) - 1,
+            R.over(F.count("close"), s.w, n) - 1,
         ),
         back=n,
     )
@@ -475,7 +474,7 @@ for n, m in ((10, 10), (20, 20), (30, 10), (50, 50), (100, 100)):
         f"trend_strength_{n}d", f"linear_r2_{n} trend_slope_{n} _streak_{n} close",
         lambda s, n=n: 0.4 * c(f"linear_r2_{n}") * 100
         + 0.3 * F.least(F.lit(100.0), F.abs(f"trend_slope_{n}") * 10)
-        + 0.3 * c(f"_streak_{n}") / F.count("close").over(R.frame(s.w, n)) * 100,
+        + 0.3 * c(f"_streak_{n}") / R.over(F.count("close"), s.w, n) * 100,
         back=n,
     )
 for n in (20, 50, 100):
@@ -491,7 +490,7 @@ for n in (10, 20, 30, 50, 100):
 
     def _momentum(s, n=n, fit=tuple(fit)):
         top = sum((div("close", F.lag("close", p - 1).over(s.w)) - 1) * 100 * (1 / p) for p in fit)
-        return F.when(F.count("close").over(R.frame(s.w, n)) >= n, top / sum(1 / p for p in fit))
+        return F.when(R.over(F.count("close"), s.w, n) >= n, top / sum(1 / p for p in fit))
 
     reg.add(f"momentum_score_{n}", "close", _momentum, back=n)
     reg.add(
@@ -508,7 +507,7 @@ for n in (10, 20, 30, 50, 100):
     )
 # velocity: 10-row mean of simple returns, in percent; needs 20 prices
 reg.add("_v10", "simple_return_1d", lambda s: R.mean("simple_return_1d", s.w, 10), back=10)
-reg.add("_has20", "close", lambda s: F.count("close").over(R.frame(s.w, 20)) >= 20, back=20)
+reg.add("_has20", "close", lambda s: R.over(F.count("close"), s.w, 20) >= 20, back=20)
 reg.add("velocity", "_v10 _has20", lambda s: F.when(c("_has20"), c("_v10") * 100))
 reg.add("acceleration", "_v10 _has20", lambda s: F.when(c("_has20"), (c("_v10") - F.lag("_v10", 1).over(s.w)) * 10000), back=1)
 reg.add(
@@ -532,7 +531,7 @@ for n in (20, 30, 50, 100):
     reg.add(f"_vs_{n}", "simple_return_1d", lambda s, k=short: R.std("simple_return_1d", s.w, k), back=short)
     reg.add(
         f"vol_regime_ratio_{n}", f"_vs_{n} simple_return_1d",
-        lambda s, n=n: F.when(F.count("simple_return_1d").over(R.frame(s.w, 2 * n)) >= 2 * n, div(f"_vs_{n}", R.std("simple_return_1d", s.w, n))),
+        lambda s, n=n: F.when(R.over(F.count("simple_return_1d"), s.w, 2 * n) >= 2 * n, div(f"_vs_{n}", R.std("simple_return_1d", s.w, n))),
         back=2 * n,
     )
     k = max(1, n // 6)
@@ -541,9 +540,9 @@ for n in (20, 30, 50, 100):
 
 def noise_ratio(s, short, long, n):
     """Return variance at two horizons inside n prices, scaled twice by the horizon ratio."""
-    vs = F.var_samp(f"_ns_{short}").over(R.frame(s.w, n - short))
-    vl = F.var_samp(f"_ns_{long}").over(R.frame(s.w, n - long))
-    full = F.count("close").over(R.frame(s.w, n)) >= n
+    vs = R.over(F.var_samp(f"_ns_{short}"), s.w, n - short)
+    vl = R.over(F.var_samp(f"_ns_{long}"), s.w, n - long)
+    full = R.over(F.count("close"), s.w, n) >= n
     return F.when(full, div(vs, vl) * (long / short) / (short / long))
 
 
@@ -559,7 +558,7 @@ def cusum(x: str, w, n: int, m: int):
 
     Returns a struct of the running maxima, the alarm flag and the number of alarms.
     """
-    sd = F.when(F.count(x).over(R.frame(w, n)) >= m, F.stddev_samp(x).over(R.frame(w, n)))
+    sd = F.when(R.over(F.count(x), w, n) >= m, R.over(F.stddev_samp(x), w, n))
     zero = F.struct(
         F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("mp"), F.lit(0.0).alias("mq"), F.lit(0).alias("k")
     )

@@ -63,17 +63,22 @@ def _roll(x: np.ndarray, rows: np.ndarray, k: Kernel) -> np.ndarray:
     n, m = k.n, k.n if k.m is None else k.m
     need = np.zeros(len(x), bool)
     need[rows] = True
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return res
+    first = known[0]  # leading unknowns (the first return of a series) are not part of a window
     with np.errstate(all="ignore"):
-        if len(x) >= n:
-            view = np.lib.stride_tricks.sliding_window_view(x, n)
-            ends = np.arange(n - 1, last + 1)
+        if len(x) - first >= n:
+            view = np.lib.stride_tricks.sliding_window_view(x[first:], n)
+            ends = np.arange(first + n - 1, last + 1)
             pick = (ends + k.offset <= last) & need[np.minimum(ends + k.offset, last)] & ~np.isnan(view).any(axis=1)
             if pick.any():
                 res[ends[pick] + k.offset] = k.fn(view[pick])
-        for size in range(m, min(n, len(x) + 1)):
-            at = size - 1 + k.offset
-            if at <= last and need[at] and not np.isnan(x[:size]).any():
-                res[at] = k.fn(x[None, :size])[0]
+        for size in range(m, min(n, len(x) - first + 1)):
+            at = first + size - 1 + k.offset
+            w = x[first : first + size]
+            if at <= last and need[at] and not np.isnan(w).any():
+                res[at] = k.fn(w[None, :])[0]
     return res
 
 
@@ -414,6 +419,27 @@ def higher_extremes(half: int, highs: bool = True):
     return fn
 
 
+def cusum(part: str):
+    """Two-sided CUSUM of a window of returns: slack half a deviation, alarm at four, both sides reset
+    together.  ``pos`` / ``neg`` are the running maxima, ``changes`` the number of alarms."""
+
+    def fn(w):
+        if w.shape[1] < 10:
+            return np.full(len(w), np.nan)
+        sd = w.std(axis=1, ddof=1)
+        p = q = mp = mq = changes = np.zeros(len(w))
+        for j in range(w.shape[1]):
+            p = np.maximum(0, p + w[:, j] - sd / 2)
+            q = np.maximum(0, q - w[:, j] - sd / 2)
+            mp, mq = np.maximum(mp, p), np.maximum(mq, q)
+            alarm = (p > 4 * sd) | (q > 4 * sd)
+            changes = changes + alarm
+            p, q = np.where(alarm, 0, p), np.where(alarm, 0, q)
+        return np.where(sd > 0, {"pos": mp, "neg": mq, "changes": changes}[part], 0.0)
+
+    return fn
+
+
 # fixed values: the windows the feature builders use
 MODEL_KERNELS = (
     Kernel("hurst_30d", "close", hurst_dfa(15), 30, 10),
@@ -424,6 +450,7 @@ MODEL_KERNELS = (
     Kernel("mr_score_30d", "close", mean_reversion_score, 50, 30),
     Kernel("structural_break_score", "close", structural_break(50), 100, 50),
 )
+CUSUM_KERNELS = tuple(Kernel(f"cusum_{s}", "simple_return_1d", cusum(s), 30, 10) for s in ("pos", "neg"))
 RANK_KERNELS = (
     Kernel("price_percentile_1y", "close", percent_rank, 365),
     Kernel("price_percentile_2y", "close", percent_rank, 730),

@@ -14,12 +14,12 @@ c = F.col
 
 # fixed values: the model features, in the groups they come from
 WINDOWED = [
-    "cusum_pos", "cusum_neg", "adx", "eth_btc_ratio", "m2_yoy_growth", "volatility_7d", "basis_pct", "basis_ma7",
+    "adx", "eth_btc_ratio", "m2_yoy_growth", "volatility_7d", "basis_pct", "basis_ma7",
     "nupl_ma30", "bb_position", "eth_pctchg_30d", "stablecoin_zscore", "stablecoin_supply_change_30d",
     "btc_gold_corr_30d_simple", "copper_return_30d", "half_life_60d", "sortino_30d", "volume_sma20_ratio",
     "aroon_down_30", "velocity", "price_fracdiff_05", "fed_fracdiff_05", "funding_rate_ma7",
 ]
-KERNELS = ["mr_score_30d", "structural_break_score", "hurst_60d", "fractal_dimension_30d", "kpss_stat_30d"]
+KERNELS = ["cusum_pos", "cusum_neg", "mr_score_30d", "structural_break_score", "hurst_60d", "fractal_dimension_30d", "kpss_stat_30d"]
 RAW = ["eth", "fed_balance_sheet"]
 MEDIAN_FILLED = ["reserve_risk", "puell_raw"]
 MODEL_FEATURES = WINDOWED + KERNELS + RAW + MEDIAN_FILLED
@@ -33,8 +33,8 @@ def model_features(df: DataFrame, panel: Panel, with_regime: bool = True, fill:
     """
     have = [x for x in RAW + MEDIAN_FILLED if x in df.columns]
     extra = ["volatility_30d", "return_30d"] if with_regime else []
-    built, skipped = FEATURES.build(df, panel, WINDOWED + extra, keep=["close", *have])
-    wanted = [k for k in kernels.MODEL_KERNELS if k.name in KERNELS or k.name == "hurst_30d"]
+    built, skipped = FEATURES.build(df, panel, WINDOWED + ["simple_return_1d"] + extra, keep=["close", *have])
+    wanted = [k for k in kernels.MODEL_KERNELS + kernels.CUSUM_KERNELS if k.name in KERNELS or k.name == "hurst_30d"]
     out = kernels.apply_kernels(built, panel, wanted)
     if have_fill := [x for x in MEDIAN_FILLED if x in have]:
         out = clean.fill_first_median(out, panel, have_fill, causal=not fill)

@@ -11,10 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.rolling import Shared
 from tidemark.panel import CHUNK, Panel
 
 _BLOCK = "_block"
@@ -30,13 +32,13 @@ class Feature:
     doc: str = ""
 
 
-@dataclass(frozen=True)
+@dataclass
 class Scope:
     """What an expression can see: the row window inside a chunk and the panel layout."""
 
     panel: Panel
 
-    @property
+    @cached_property
     def w(self) -> WindowSpec:
         return self.panel.window()
 
@@ -70,7 +72,7 @@ class Registry:
         """
         d = 1.0 - alpha
         rate = -math.log(d)
-        size = max(1, min(256, int(30 / rate)))
+        size = max(1, min(128, int(30 / rate)))
         reach = math.ceil(math.log(1e17) / rate)
         n_blocks = math.ceil(reach / size) + 1
         inner, tail = f"_in_{name}", f"_blk_{name}"
@@ -148,8 +150,12 @@ class Registry:
 
     def stack(self, frame: DataFrame, panel: Panel, stages: Sequence[Sequence[str]]) -> DataFrame:
         scope = Scope(panel)
-        for stage in stages:
-            frame = frame.withColumns({n: self.items[n].make(scope) for n in stage})
+        for i, stage in enumerate(stages):
+            with Shared(f"_w{i}_") as shared:
+                made = {n: self.items[n].make(scope) for n in stage}
+            if shared.columns:
+                frame = frame.withColumns(shared.columns)
+            frame = frame.withColumns(made).drop(*shared.columns)
         return frame
 
     def build(

@@ -117,12 +117,10 @@ def probabilistic_sharpe(df: DataFrame, by: Sequence[str], ret: str, benchmarks:
     k = (c("kurt") + 2) / 4 if published else (c("kurt") - 1) / 4
     row = row.withColumn("sr", sr)
     den = F.sqrt((1 - c("skew") * c("sr") + k * c("sr") * c("sr")) / (c("n") - 1))
-    out = {}
-    for name, b in benchmarks.items():
-        z = div(c("sr") - b / math.sqrt(ppy), F.nullif(den, F.lit(0.0)))
-        out[f"z_{name}"] = z
-        out[f"psr_{name}"] = F.when((c("n") < 3) | (den == 0), 0.5).otherwise(norm_cdf(z))
-    return row.withColumns(out).drop("_m", "_s")
+    row = row.withColumn("_den", den)
+    z = {f"z_{n}": div(c("sr") - b / math.sqrt(ppy), F.nullif("_den", F.lit(0.0))) for n, b in benchmarks.items()}
+    psr = {f"psr_{n}": F.when((c("n") < 3) | (c("_den") == 0), 0.5).otherwise(norm_cdf(c(f"z_{n}"))) for n in benchmarks}
+    return row.withColumns(z).withColumns(psr).drop("_m", "_s", "_den")
 
 
 def deflated_sharpe(df: DataFrame, by: Sequence[str], ret: str, trials: Sequence[int], trial_variance: float = 1.0) -> DataFrame:
@@ -230,7 +228,8 @@ def proportion_shift(df: DataFrame, by: Sequence[str], hit: Column, current: Col
     )
     pc, ph = div("k_cur", "n_cur"), div("k_hist", "n_hist")
     z = div(pc - ph, F.nullif(F.sqrt(div(ph * (1 - ph), "n_cur")), F.lit(0.0)))
-    return row.withColumns({"z": z}).withColumn("p_value", 2 * (1 - norm_cdf(F.abs("z"))))
+    row = row.withColumn("z", z).withColumn("_az", F.abs("z"))
+    return row.withColumn("p_value", 2 * (1 - norm_cdf(c("_az")))).drop("_az")
 
 
 def verdict(df: DataFrame, by: Sequence[str], config: str, metric: str) -> DataFrame:

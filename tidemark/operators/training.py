@@ -21,6 +21,7 @@ from tidemark.functions.scalars import unit_hash
 from tidemark.operators.joins import asof_global
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.panel import Panel, Running
+from tidemark.stage import stage
 
 c = F.col
 
@@ -158,7 +159,8 @@ def walk_forward(df: DataFrame, panel: Panel, features: Sequence[str], cutoffs:
     predicts.  ``frozen`` keeps the first model for all later rows.
     """
     cuts = list(cutoffs)[:1] if frozen else list(cutoffs)
-    slices = training_rows(df, panel, cuts, horizon, window_days=window_days)
+    # every fit passes over its rows several times
+    slices = stage(training_rows(df, panel, cuts, horizon, window_days=window_days), "slices")
     key = [*panel.keys, panel.ts]
     out = None
     for i, cut in enumerate(cuts):

@@ -36,7 +36,7 @@ class Panel:
     keys: tuple[str, ...] = ("series_id",)
     ts: str = "ts"
     step: str = "day"
-    chunk_rows: int = 2048
+    chunk_rows: int = 4096
 
     def by(self, *extra: str) -> "Panel":
         """The same layout with more key columns (scenario, seed, ...)."""
