@@ -32,7 +32,7 @@ def shares(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Share of each value within its group: two aggregations, no window over the raw rows."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
-    j = counts.join(totals, list(by)) if by else counts.join(F.broadcast(totals))
+    j = counts.join(totals, list(by)) if by else counts.withColumn("_t", totals.scalar())
     return j.select(*by, value, "n", (c("n") / c("_t")).alias("share"))
 
 
@@ -74,7 +74,7 @@ def quantile_summary(df: DataFrame, by: Sequence[str], x: str, at: str) -> DataF
         F.min_by(at, F.struct(c(x), c(at))).alias("argmin"), F.max_by(at, F.struct(c(x), c(at))).alias("argmax"),
     )
     q = exact_quantiles(df, by, x, qs, "_q")
-    j = ext.join(q, list(by)) if by else ext.join(F.broadcast(q))
+    j = ext.join(q, list(by)) if by else ext.withColumn("_q", q.scalar())
     return j.select(*by, "min", *[F.get("_q", F.lit(i)).alias(f"p{int(v * 100)}") for i, v in enumerate(qs)], "max", "argmin", "argmax")
 
 

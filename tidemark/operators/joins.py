@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.panel import Panel, Running
@@ -73,16 +73,16 @@ def asof_global(
 ) -> DataFrame:
     """As-of against a short keyless history (rates, model cutoffs).
 
-    The history is aggregated to one sorted array, which travels as a single row; each left row
-    picks its entry with an array expression, so the left side is not shuffled.  For histories of
-    up to a few thousand entries: a longer one is turned away, use ``asof`` with a key.
+    The history is aggregated to one sorted array, a scalar subquery; each left row picks its entry
+    with an array expression, so the left side is not shuffled.  The length is checked: a history
+    of more than 10,000 entries is turned away, use ``asof`` with a key.
     """
     limit = 10_000
     n = right.limit(limit + 1).count()
     if n > limit:
         raise ValueError(f"history of more than {limit} rows: give both sides a key and use asof")
     packed = right.agg(F.array_sort(F.collect_list(F.struct(c(effective).alias("e"), *[c(v).alias(f"v_{v}") for v in values]))).alias("_h"))
-    j = left.join(F.broadcast(packed))  # exactly one row
+    j = left.withColumn("_h", packed.scalar())
     ok = (lambda x: x["e"] < c(ts)) if strict else (lambda x: x["e"] <= c(ts))
     hit = F.element_at(F.filter("_h", ok), -1)
     hit = F.when(F.size(F.filter("_h", ok)) > 0, hit)
@@ -92,14 +92,6 @@ def asof_global(
     return j.select(*left.columns, *[c(f"_hit.v_{v}").alias(v) for v in values])
 
 
-def step_intervals(history: DataFrame, effective: str, value: str) -> DataFrame:
-    """A step function as half-open [from, to) intervals."""
-    w = Window.partitionBy(F.lit(0)).orderBy(effective)
-    return history.select(
-        c(effective).alias("valid_from"), F.lead(effective).over(w).alias("valid_to"), c(value)
-    )
-
-
 def fresh_columns(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join that only adds columns the left side does not have."""
     add = [x for x in right.columns if x not in left.columns]

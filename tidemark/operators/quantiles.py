@@ -45,8 +45,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, qs: Sequence[float
         ]
     )
     sketch = sketch.select(*by, marks.alias("_marks"))
-    # one sketch row per group; without keys it is one row
-    j = rows.join(sketch, list(by)) if by else rows.join(F.broadcast(sketch))
+    # one sketch row per group; without keys it is a scalar
+    j = rows.join(sketch, list(by)) if by else rows.withColumn("_marks", sketch.scalar())
     j = j.select(*by, "_v", F.explode("_marks").alias("_m")).select(*by, "_v", "_m.*").filter(c("_v") <= c("hi"))
     inside = c("_v") >= c("lo")
     counts = j.groupBy(*by, "i", "rank", F.when(inside, c("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
@@ -77,6 +77,6 @@ def quantile_bucket(df: DataFrame, by: Sequence[str], x: str, n: int, out: str =
     lowest value included."""
     edges = exact_quantiles(df, by, x, [i / n for i in range(n + 1)], "_edges")
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
-    j = df.join(edges, list(by)) if by else df.join(F.broadcast(edges))
+    j = df.join(edges, list(by)) if by else df.withColumn("_edges", edges.scalar())
     below = F.size(F.filter("_edges", lambda e: e < c(x)))
     return j.withColumn(out, F.when(c(x).isNotNull(), F.greatest(below, F.lit(1)))).drop("_edges")

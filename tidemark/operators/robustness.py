@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import div, norm_cdf, normal_hash, unit_hash
 from tidemark.operators.accounting import summary
 from tidemark.operators.decisions import allocation, confidence, period_return
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.panel import Panel, Running
 
 c = F.col
@@ -52,10 +53,15 @@ def permutation_summary(perms: DataFrame, baseline: DataFrame, by: Sequence[str]
     for m in metrics:
         aggs += [
             F.avg(m).alias(f"{m}_mean"), F.max(m).alias(f"{m}_max"),
-            F.percentile(m, F.lit(0.95)).alias(f"{m}_p95"),
             F.avg(F.coalesce(c(m) > c(f"_b_{m}"), F.lit(False)).cast("double")).alias(f"{m}_p_value"),
         ]
-    return j.groupBy(*by).agg(*aggs)
+    # a million shuffles are too many values for one percentile() buffer
+    long = perms.unpivot(list(by), list(metrics), "_metric", "_x")
+    tails = exact_quantiles(long, [*by, "_metric"], "_x", [0.95, 0.99], "_q")
+    tails = tails.groupBy(*by).agg(
+        *[F.max(F.when(c("_metric") == m, F.get("_q", F.lit(i)))).alias(f"{m}_{p}") for m in metrics for i, p in enumerate(("p95", "p99"))]
+    )
+    return j.groupBy(*by).agg(*aggs).join(tails, list(by))
 
 
 # -- null signals ------------------------------------------------------------------------------

@@ -186,7 +186,7 @@ def residual_quantiles(models: Sequence[PipelineModel], train: DataFrame, test:
     fit = predict_mean(models, train.filter(c(label).isNotNull()), features, "pred")
     fit = fit.select((c(label) - c("pred")).alias("res"))
     cut = exact_quantiles(fit, [], "res", list(qs), "_r")
-    out = predict_mean(models, test, features, "pred").join(F.broadcast(cut))  # one row
+    out = predict_mean(models, test, features, "pred").withColumn("_r", cut.scalar())
     return out.withColumns({f"q{int(q * 100):02d}": c("pred") + F.get("_r", F.lit(i)) for i, q in enumerate(qs)}).drop("_r")
 
 

@@ -106,9 +106,9 @@ def kline_arrays(spark, sf_dir):
 def closed_candles(spark, sf_dir):
     """Bars whose hour is over at the time of the newest event."""
     b = t.hourly_bars(spark, sf_dir)
-    now = t.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("_now"))
-    b = b.withColumn("_close", c("ts") + F.expr("INTERVAL 1 HOUR")).join(F.broadcast(now))  # one row
-    return src.closed_only(b, "_close", c("_now")).withColumn("ts", c("ts").cast("timestamp_ntz"))
+    now = t.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp"))
+    b = b.withColumn("_close", c("ts") + F.expr("INTERVAL 1 HOUR"))
+    return src.closed_only(b, "_close", now.scalar()).withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
 @query(

@@ -91,8 +91,5 @@ def streamed_state_runs(spark, sf_dir):
 )
 def stale_series(spark, sf_dir):
     b = t.hourly_bars(spark, sf_dir)
-    now = t.table(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 HOURS")).alias("_now"))
-    last = b.groupBy("series_id").agg(F.max("ts").alias("ts")).join(F.broadcast(now))  # one row
-    return last.groupBy("series_id", "_now").agg(F.max("ts").alias("_l")).select(
-        "series_id", (HOURLY.pos(c("_now")) - HOURLY.pos(c("_l"))).alias("behind"), ((HOURLY.pos(c("_now")) - HOURLY.pos(c("_l"))) > 2).alias("stale")
-    )
+    now = t.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 HOURS"))
+    return st.staleness(b, HOURLY, now.scalar(), slack=2)

@@ -34,8 +34,10 @@ def learning_rows(spark, sf_dir):
     "SELECT CAST(d AS DATE) AS cutoff_ts FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS d), (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders) WHERE month(d) IN (1, 7) AND d >= date_trunc('month', a) AND d <= b",
 )
 def retrain_calendar(spark, sf_dir):
-    o = t.table(spark, sf_dir, "orders").agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
-    return o.join(F.broadcast(tr.retrain_calendar(spark, "1995-01-01", "2001-08-01"))).filter(c("cutoff_ts").between(c("a"), c("b")))
+    o = t.table(spark, sf_dir, "orders")
+    first, last = o.agg(F.trunc(F.min("o_orderdate"), "month")), o.agg(F.to_date(F.max("o_orderdate")))
+    days = tr.retrain_calendar(spark, "1995-01-01", "2001-08-01")
+    return days.filter((c("cutoff_ts") >= first.scalar()) & (c("cutoff_ts") <= last.scalar()))
 
 
 @query(

@@ -75,9 +75,13 @@ def new_features(stored: DataFrame, fresh: DataFrame, panel: Panel, names: Seque
     """Features of the fresh bars only, computed from the stored history they look back on.
 
     A filter on time cannot pass below a window, so the history is cut first, to the look-back the
-    registry knows, and the result is cut again to the fresh rows.
+    registry knows, and the result is cut again to the fresh rows.  The oldest fresh row is one
+    number, used as a literal so that the cut reaches the scan of the stored bars.
     """
     _, back, _, _ = registry.plan(stored.columns, names)
+    oldest = fresh.agg(F.min(panel.pos())).first()[0]
+    if oldest is not None:
+        stored = stored.filter(c(panel.ts) >= panel.at(F.lit(oldest - back)))
     since = fresh.groupBy(*panel.keys).agg(F.min(panel.pos()).alias("_since"))
     both = append_missing(stored, fresh, [*panel.keys, panel.ts]).join(since, list(panel.keys))
     both = both.filter(panel.pos() >= c("_since") - back)
@@ -93,8 +97,11 @@ def feature_batch(bars_path: str, features_path: str, panel: Panel, names: Seque
         spark = batch.sparkSession
         key = [*panel.keys, panel.ts]
         old = _read_or_none(spark, bars_path)
-        fresh = batch if old is None else batch.join(old.select(*key), key, "left_anti")
-        fresh = stage(fresh, "fresh")
+        fresh = stage(batch, "fresh")
+        if old is not None:
+            first = fresh.agg(F.min(panel.ts)).first()[0]
+            seen = old.filter(c(panel.ts) >= F.lit(first)).select(*key)
+            fresh = stage(fresh.join(seen, key, "left_anti"), "fresh")
         history = fresh.limit(0) if old is None else old
         new_features(history, fresh, panel, names).write.mode("append").parquet(features_path)
         fresh.write.mode("append").parquet(bars_path)
