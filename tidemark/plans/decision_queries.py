@@ -31,7 +31,7 @@ _CONF = ["sig15", "sig5", "conf1", "signed15"]
 
 
 @query(
-    "confidence_variants", "series_id ts variant conf:8 alloc:7",
+    "confidence_variants", "series_id ts variant conf:8 alloc:10",
     f"""{D}, v AS (SELECT d.series_id, d.ts, d.pred, d.k, x.variant, CASE x.variant WHEN 'sig15' THEN {SIG.format(s=15)} WHEN 'sig5' THEN {SIG.format(s=5)} WHEN 'conf1' THEN 1.0
         ELSE 1 / (1 + exp(-(p_up - 0.5) * CASE WHEN pred >= 0 THEN 1 ELSE -1 END * 15)) END AS conf FROM decisions d CROSS JOIN (VALUES ('sig15'), ('sig5'), ('conf1'), ('signed15')) x(variant))
         SELECT *, {cl('pred * k * conf')} AS alloc FROM v""",

@@ -16,7 +16,7 @@ eqd AS (
 
 @query(
     "decision_log",
-    "series_id ts regime k:2 pred:8 p_up:8 conf:8 alloc:7 is_large_move is_off_calendar next_ts asset_ret:8 cash_ret:8 strat_ret:8 equity:6 drawdown:7",
+    "series_id ts regime k:2 pred:10 p_up:8 conf:8 alloc:7 is_large_move is_off_calendar next_ts asset_ret:8 cash_ret:8 strat_ret:8 equity:6 drawdown:7",
     f"WITH {SQL_EQUITY} SELECT * FROM eqd",
 )
 def decision_log(spark, sf_dir):

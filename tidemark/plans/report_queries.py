@@ -240,7 +240,7 @@ def monthly_summary(spark, sf_dir):
 
 
 @query(
-    "position_reading", "series_id ts size_class brake pred_band conf_band verdict actual:7 without_confidence:7 if_bull:7",
+    "position_reading", "series_id ts size_class brake pred_band conf_band verdict actual:10 without_confidence:10 if_bull:10",
     f"""{D}, f AS (SELECT *, {cl('pred * k * conf')} AS actual, {cl('pred * k')} AS without_confidence, {cl('pred * 60 * conf')} AS if_bull, {cl('pred * 60')} AS potential FROM decisions)
         SELECT series_id, ts, CASE WHEN alloc * 100 <= 0.01 THEN 'none' WHEN alloc * 100 < 10 THEN 'minimal' WHEN alloc * 100 < 30 THEN 'small' WHEN alloc * 100 < 60 THEN 'moderate' WHEN alloc * 100 < 85 THEN 'large' ELSE 'near maximum' END AS size_class,
           CASE WHEN pred <= 0 THEN 'negative forecast' WHEN potential < 0.3 THEN 'weak forecast' WHEN actual >= 0.85 THEN 'none' WHEN if_bull - actual >= without_confidence - actual THEN 'regime' ELSE 'uncertain classifier' END AS brake,

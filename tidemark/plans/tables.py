@@ -174,16 +174,17 @@ SQL_RATE = "CASE " + " ".join(
 SQL_CASH = f"CASE WHEN isodow(ts) <= 5 THEN pow(1 + ({SQL_RATE}), 1.0 / 252) - 1 ELSE 0 END"
 
 _SIG = Registry()
-_SIG.add("price", "close", lambda s: R.mean("close", s.w, 30), back=30)
+# rounded, so that two days with the same average are equal on every engine
+_SIG.add("price", "close", lambda s: F.round(R.mean("close", s.w, 30), 4), back=30)
 _SIG.add("_lp", "price", lambda s: F.ln("price"))
 _SIG.add("_x", "ts", lambda s: s.panel.pos().cast("double"))
 _SIG.add("sma_short", "price", lambda s: R.mean("price", s.w, 50), back=50)
 _SIG.add("sma_long", "price", lambda s: R.mean("price", s.w, 200), back=200)
 _SIG.add("day_ret", "price", lambda s: R.pct_change("price", s.w, 1), back=1)
-_SIG.add("vol30", "day_ret", lambda s: R.std("day_ret", s.w, 30) * F.sqrt(F.lit(365.0)), back=30)
+_SIG.add("vol30", "day_ret", lambda s: F.round(R.std("day_ret", s.w, 30) * F.sqrt(F.lit(365.0)), 10), back=30)
 _SIG.add(
     "pred", "_lp _x",
-    lambda s: F.when(F.count("_lp").over(R.frame(s.w, 20)) >= 20, 3 * F.regr_slope("_lp", "_x").over(R.frame(s.w, 20))),
+    lambda s: F.when(R.over(F.count("_lp"), s.w, 20) >= 20, F.round(3 * R.over(F.regr_slope("_lp", "_x"), s.w, 20), 10)),
     back=20,
 )
 _SIG.add("p_up", "pred", lambda s: 1 / (1 + F.exp(-10 * c("pred"))))
@@ -204,7 +205,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SIGNALS = SQL_PANEL + f""", px AS (
-  SELECT series_id, ts, CASE WHEN count(close) OVER w >= 30 THEN avg(close) OVER w END AS price,
+  SELECT series_id, ts, CASE WHEN count(close) OVER w >= 30 THEN round(avg(close) OVER w, 4) END AS price,
          CAST(date_diff('day', DATE '1970-01-01', ts) AS DOUBLE) AS x
   FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS 29 PRECEDING)),
 sg0 AS (
@@ -212,7 +213,7 @@ sg0 AS (
     CASE WHEN count(price) OVER w50 >= 50 THEN avg(price) OVER w50 END AS sma_short,
     CASE WHEN count(price) OVER w200 >= 200 THEN avg(price) OVER w200 END AS sma_long,
     price / lag(price) OVER o - 1 AS day_ret,
-    CASE WHEN count(price) OVER w20 >= 20 THEN 3 * regr_slope(ln(price), x) OVER w20 END AS pred
+    CASE WHEN count(price) OVER w20 >= 20 THEN round(3 * regr_slope(ln(price), x) OVER w20, 10) END AS pred
   FROM px
   WINDOW o AS (PARTITION BY series_id ORDER BY ts),
     w20 AS (PARTITION BY series_id ORDER BY ts ROWS 19 PRECEDING),
@@ -220,7 +221,7 @@ sg0 AS (
     w200 AS (PARTITION BY series_id ORDER BY ts ROWS 199 PRECEDING)),
 sg AS (
   SELECT series_id, ts, price, sma_short, sma_long, day_ret,
-    CASE WHEN count(day_ret) OVER w30 >= 30 THEN stddev_samp(day_ret) OVER w30 * sqrt(365.0) END AS vol30,
+    CASE WHEN count(day_ret) OVER w30 >= 30 THEN round(stddev_samp(day_ret) OVER w30 * sqrt(365.0), 10) END AS vol30,
     pred, 1 / (1 + exp(-10 * pred)) AS p_up, {SQL_CASH} AS cash_rate
   FROM sg0
   WINDOW w30 AS (PARTITION BY series_id ORDER BY ts ROWS 29 PRECEDING)),
