@@ -33,7 +33,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def staged_once(spark: SparkSession, label: str, inputs: tuple, make: Callable[[], DataFrame]) -> DataFrame:
