@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, minhash, mixing, quality
+from tidemark.llm import decontaminate, lines, minhash, mixing, quality, tokens
 
 c = F.col
 
@@ -111,3 +111,13 @@ def op8_quality_ledger(spark, sf_dir):
 def op10_systematic_mix(spark, sf_dir):
     m = mixing.mixed(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (c("copies") * c("size")).alias("taken"))
+
+
+@query()
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
