@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lines, minhash, mixing, quality, tokens
+from tidemark.llm import ctw, decontaminate, lines, minhash, mixing, quality, styletree, tokens, urls
 
 c = F.col
 
@@ -121,3 +121,48 @@ def op6_benchmark_decontamination(spark, sf_dir):
 @query()
 def op7_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
+@query()
+def op9_context_tree_scores(spark, sf_dir):
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_style_tree_text(spark, sf_dir):
+    return styletree.extract(table(spark, sf_dir, "pages"))
+
+
+def _rounds(name: str, src: str, dst: str, seeds: str) -> str:
+    """The rounds of score propagation as one common table expression each."""
+    d = urls.DAMPING
+    out = [f"{name}w AS (SELECT {src} AS src, {dst} AS dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY {src}) AS w FROM edges)", f"{name}0 AS MATERIALIZED (SELECT host, {1 - d}::DOUBLE AS score FROM seed WHERE {seeds})"]
+    for i in range(1, urls.ROUNDS + 1):
+        out.append(
+            f"{name}{i} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT dst AS host, {d}::DOUBLE * score * w AS score FROM {name}w JOIN {name}{i - 1} p ON p.host = src UNION ALL SELECT * FROM {name}0) x GROUP BY host)"
+        )
+    return ", ".join(out)
+
+
+def _rule_case(value) -> str:
+    whens = []
+    for rule, allowed in sorted(urls.RULES, key=lambda r: (-len(r[0]), r[0])):
+        host, path = urls._split(rule)
+        whens.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN {value(rule, allowed)}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+_HOST = f"translate(coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), ''), {AZ})"
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, html, {_HOST} AS host, coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    j AS (SELECT page_id, html, host, path, {_rule_case(lambda r, a: f"'{r}'")} AS rule, {_rule_case(lambda r, a: str(a).upper())} AS allowed FROM u),
+    edges AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{urls.LINK.replace("'", "''")}', 1)), {AZ}) AS dst FROM j) l WHERE src <> dst AND src <> '' AND dst <> ''),
+    seed AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE allowed) AS good, count(*) FILTER (WHERE NOT allowed) AS bad FROM j WHERE host <> '' GROUP BY host),
+    {_rounds('t', 'src', 'dst', f'good >= {urls.SHARE} * n AND good > bad')}, {_rounds('b', 'dst', 'src', f'bad >= {urls.SHARE} * n AND bad > good')}
+    SELECT page_id, j.host, path, rule, CASE WHEN coalesce(allowed, NOT (coalesce(b.score, 0) >= {urls.LEAST} AND coalesce(b.score, 0) > coalesce(t.score, 0))) THEN 'allow' ELSE 'block' END AS verdict
+    FROM j LEFT JOIN t{urls.ROUNDS} t ON t.host = j.host LEFT JOIN b{urls.ROUNDS} b ON b.host = j.host"""
+)
+def op1_link_trust_urls(spark, sf_dir):
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
