@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, minhash, mixing, quality
+from tidemark.llm import decontaminate, lines, minhash, mixing, quality
 from tidemark.stage import stage
 
 c = F.col
@@ -30,7 +30,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; ``copy`` numbers its copies."""
+    return mixing.emitted(docs).select(*COLUMNS, "copy")
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup),
+    ("benchmark decontamination", decontamination), ("mixing sources", mixing_sources),
+]
 #: Decontamination (approximate matching) cannot be said in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 

@@ -79,3 +79,17 @@ def mixed(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SH
     d = d.select("d.doc_id", "d.source", "d.size", "e.source_size", "e.target", "e._rate", (c("e._before") + c("d._in")).alias("_rank"), offset(c("d.source"), seed).alias("_u"))
     copies = F.floor(c("_rank") * c("_rate") + c("_u")) - F.floor((c("_rank") - 1) * c("_rate") + c("_u"))
     return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def emitted(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with the number of the copy in ``copy`` (from 1).
+
+    Rows that agree in id, source and size share their copies out in the order of their texts."""
+    d = docs.drop("copy", "_size", "_turn").withColumn("_size", n_words(c("text")))
+    alike = W.partitionBy("doc_id", "source", "_size")
+    d = d.withColumn("_turn", F.row_number().over(alike.orderBy("text")))
+    m = mixed(docs, **options).select(c("doc_id").alias("_i"), c("source").alias("_src"), c("size").alias("_n"), "copies")
+    m = m.withColumn("_at", F.row_number().over(W.partitionBy("_i", "_src", "_n").orderBy(F.desc("copies")))).where("copies > 0")
+    same = c("doc_id").eqNullSafe(c("_i")) & c("source").eqNullSafe(c("_src")) & (c("_size") == c("_n")) & (c("_turn") == c("_at"))
+    out = d.join(m, same).withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies").cast("int"))))
+    return out.drop("_size", "_turn", "_i", "_src", "_n", "_at", "copies")
