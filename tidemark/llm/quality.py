@@ -30,7 +30,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "shouting": "2 * n_upper > n_letters",
-    "one_word": "4 * n_distinct_words < n_words and n_words >= 400 or 10 * n_distinct_words < n_words",
+    "few_distinct_words": "n_words < 400 and 4 * n_distinct_words < n_words",
 }
 BITS = {name: 1 << i for i, name in enumerate(RULES)}
 
@@ -49,7 +49,7 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("too_few_words", "repeated_windows"))
-STRICT = Policy("strict", 1, (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words", "shouting"))
+STRICT = Policy("strict", 1, (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words", "shouting", "few_distinct_words"))
 
 
 def _let(value: Column, body) -> Column:
