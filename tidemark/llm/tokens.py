@@ -19,6 +19,7 @@ strings inside texts are handled as the library does by default (one token each)
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -57,8 +58,6 @@ _PA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.i
 
 
 def _bucket(words: list[bytes], buckets: int) -> np.ndarray:
-    import zlib
-
     return np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
 
 
@@ -74,7 +73,7 @@ def _frequencies(buckets: int):
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     own = order[cuts[b] : cuts[b + 1]]
-                    yield {"block": block, "bucket": b, "codes": own.astype(np.int32).tobytes(), "tokens": b" ".join([words[i] for i in own])}
+                    yield {"block": block, "bucket": b, "codes": _packed_codes(own), "tokens": zlib.compress(b" ".join([words[i] for i in own]), 1)}
 
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
@@ -83,8 +82,9 @@ def _frequencies(buckets: int):
                 rows = []
                 for i in range(a, b):
                     n = Counter(data[offsets[i] : offsets[i + 1]].split())
-                    own = np.fromiter([codes.setdefault(w, len(codes)) for w in n], np.int32, len(n))
-                    rows.append({"block": block, "doc_id": ids[i], "n_bytes": int(offsets[i + 1] - offsets[i]), "codes": own.tobytes(), "counts": _packed(np.fromiter(n.values(), np.int64, len(n)))})
+                    own = np.fromiter([codes.setdefault(w, len(codes)) for w in n], np.int64, len(n))
+                    order = np.argsort(own)
+                    rows.append({"block": block, "doc_id": ids[i], "n_bytes": int(offsets[i + 1] - offsets[i]), "codes": _packed_codes(own[order]), "counts": _packed(np.fromiter(n.values(), np.int64, len(n))[order])})
                 size += int(offsets[b] - offsets[a])
                 if size >= BLOCK_BYTES:
                     rows += dictionary()
@@ -98,13 +98,24 @@ def _frequencies(buckets: int):
 
 
 def _packed(n: np.ndarray) -> bytes:
-    """Counts as bytes; a wider type only where one does not fit (the length tells which)."""
-    kind = np.uint8 if n.size == 0 or n.max() < 256 else np.uint32
-    return n.astype(kind).tobytes()
+    """Whole numbers under 2^32 in the narrowest width that holds them, byte by byte, deflated."""
+    width = 1 if n.size == 0 or n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 4
+    planes = n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(raw[0], -1).T).view(f"<u{raw[0]}").ravel().astype(np.int64)
+
+
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Ascending codes as differences."""
+    return _packed(np.diff(codes, prepend=0))
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
+def _unpacked_codes(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw))
 
 
 def _pieces(path: str):
@@ -114,7 +125,7 @@ def _pieces(path: str):
         encode = _encode(path)
         blocks, codes, tokens = (group.column(x).to_pylist() for x in ("block", "codes", "tokens"))
         known: dict[bytes, int] = {}
-        lists = [t.split(b" ") for t in tokens]
+        lists = [zlib.decompress(t).split(b" ") for t in tokens]
         for words in lists:
             for w in words:
                 known.setdefault(w, 0)
@@ -122,7 +133,7 @@ def _pieces(path: str):
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
             known.update(zip(part, encode([w.decode("utf-8", "replace") for w in part])))
-        counts = [np.fromiter([known[w] for w in words], np.uint32, len(words)).tobytes() for words in lists]
+        counts = [_packed(np.fromiter([known[w] for w in words], np.int64, len(words))) for words in lists]
         return pa.table({"block": pa.array(blocks, pa.string()), "codes": pa.array(codes, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
@@ -130,14 +141,13 @@ def _pieces(path: str):
 
 def _sums(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """One block: frequencies times pieces per document."""
-    codes = [np.frombuffer(x, np.int32) for x in pieces.column("codes").to_pylist()]
+    codes = [_unpacked_codes(x) for x in pieces.column("codes").to_pylist()]
     table = np.zeros(sum(map(len, codes)), np.int64)
     for own, n in zip(codes, pieces.column("counts").to_pylist()):
-        table[own] = np.frombuffer(n, np.uint32)
+        table[own] = _unpacked(n)
     total = []
     for own, n in zip(docs.column("codes").to_pylist(), docs.column("counts").to_pylist()):
-        own = np.frombuffer(own, np.int32)
-        total.append(int(table[own] @ _unpacked(n, len(own))) if len(own) else 0)
+        total.append(int(table[_unpacked_codes(own)] @ _unpacked(n)))
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())})
 
 
