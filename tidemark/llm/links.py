@@ -54,8 +54,10 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
 
     1. each set is compared with the smallest set of each of its buckets (a star, linear in the rows);
     2. what is verified is merged; where a bucket still holds several components, every pair of
-       different components is compared, unless the sizes or the distances to the bucket's smallest
-       set rule it out (Jaccard distance is a metric, so ``|d(l,x) - d(l,y)| <= d(x,y)``).
+       different components is compared, unless one of two bounds rules it out: Jaccard distance is a
+       metric, so ``|d(l,x) - d(l,y)| <= d(x,y)`` for the bucket's smallest set l; and shingles that
+       none of the sets still in question shares are in no intersection, which leaves few pairs in a
+       large family of copies that were each edited in their own way.
     """
     room = (100 - percent) / 100 + 1e-9
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_top")).where("lead != _top").drop("_top")
@@ -73,10 +75,16 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     rows = rows.select("key", "node", "n", "lead", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
     left = stage(rows.where("node != lead").join(mixed, "key"), "mixed")
+    # shingles that no other of these sets has can be in no intersection
+    own = sets.join(left.select("node").distinct(), "node").select("node", F.explode("shingles").alias("s"))
+    private = own.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("_top")).where("node = _top").groupBy("node").agg(F.count("*").alias("u"))
+    left = left.join(private, "node", "left").withColumn("shared", c("n") - F.coalesce("u", F.lit(0)))
+    left = stage(left.where(100 * c("shared") >= percent * c("n")).drop("u"), "open")
     x, y = left.alias("x"), left.alias("y")
+    most = F.least("x.shared", "y.shared")
     near = (
         (c("x.key") == c("y.key")) & (c("x.component") < c("y.component")) & (F.abs(c("x.d") - c("y.d")) <= room)
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (100 * most >= percent * (c("x.n") + c("y.n") - most))
     )
     rest = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")

@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, m: int = M,
     keys = classes.select("node", F.explode(F.array(*pairs)).alias("key"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        asked = texts.join(nodes.select(c("node").alias("doc_id")), "doc_id", "left_semi")
+        asked = texts.join(nodes.select(c("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
         return asked.mapInArrow(_sets(k), "node long, shingles array<long>").distinct()
 
     sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n"))
