@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.packing import packed, packed_ascending, unpacked, unpacked_ascending
 from tidemark.llm.words import slices, text_bytes
 from tidemark.stage import stage
 
@@ -73,7 +74,7 @@ def _frequencies(buckets: int):
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     own = order[cuts[b] : cuts[b + 1]]
-                    yield {"block": block, "bucket": b, "codes": _packed_codes(own), "tokens": zlib.compress(b" ".join([words[i] for i in own]), 1)}
+                    yield {"block": block, "bucket": b, "codes": packed_ascending(own), "tokens": zlib.compress(b" ".join([words[i] for i in own]), 1)}
 
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
@@ -84,7 +85,7 @@ def _frequencies(buckets: int):
                     n = Counter(data[offsets[i] : offsets[i + 1]].split())
                     own = np.fromiter([codes.setdefault(w, len(codes)) for w in n], np.int64, len(n))
                     order = np.argsort(own)
-                    rows.append({"block": block, "doc_id": ids[i], "n_bytes": int(offsets[i + 1] - offsets[i]), "codes": _packed_codes(own[order]), "counts": _packed(np.fromiter(n.values(), np.int64, len(n))[order])})
+                    rows.append({"block": block, "doc_id": ids[i], "n_bytes": int(offsets[i + 1] - offsets[i]), "codes": packed_ascending(own[order]), "counts": packed(np.fromiter(n.values(), np.int64, len(n))[order])})
                 size += int(offsets[b] - offsets[a])
                 if size >= BLOCK_BYTES:
                     rows += dictionary()
@@ -97,27 +98,6 @@ def _frequencies(buckets: int):
     return run
 
 
-def _packed(n: np.ndarray) -> bytes:
-    """Whole numbers under 2^32 in the narrowest width that holds them, byte by byte, deflated."""
-    width = 1 if n.size == 0 or n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 4
-    planes = n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8)
-    return np.ascontiguousarray(planes.reshape(raw[0], -1).T).view(f"<u{raw[0]}").ravel().astype(np.int64)
-
-
-def _packed_codes(codes: np.ndarray) -> bytes:
-    """Ascending codes as differences."""
-    return _packed(np.diff(codes, prepend=0))
-
-
-def _unpacked_codes(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(raw))
-
-
 def _pieces(path: str):
     """One bucket: every distinct pre-token is encoded once."""
 
@@ -133,7 +113,7 @@ def _pieces(path: str):
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
             known.update(zip(part, encode([w.decode("utf-8", "replace") for w in part])))
-        counts = [_packed(np.fromiter([known[w] for w in words], np.int64, len(words))) for words in lists]
+        counts = [packed(np.fromiter([known[w] for w in words], np.int64, len(words))) for words in lists]
         return pa.table({"block": pa.array(blocks, pa.string()), "codes": pa.array(codes, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
@@ -141,13 +121,13 @@ def _pieces(path: str):
 
 def _sums(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """One block: frequencies times pieces per document."""
-    codes = [_unpacked_codes(x) for x in pieces.column("codes").to_pylist()]
+    codes = [unpacked_ascending(x) for x in pieces.column("codes").to_pylist()]
     table = np.zeros(sum(map(len, codes)), np.int64)
     for own, n in zip(codes, pieces.column("counts").to_pylist()):
-        table[own] = _unpacked(n)
+        table[own] = unpacked(n)
     total = []
     for own, n in zip(docs.column("codes").to_pylist(), docs.column("counts").to_pylist()):
-        total.append(int(table[_unpacked_codes(own)] @ _unpacked(n)))
+        total.append(int(table[unpacked_ascending(own)] @ unpacked(n)))
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())})
 
 
