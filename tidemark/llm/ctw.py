@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.packing import packed, packed_ascending, unpacked, unpacked_ascending
 from tidemark.llm.words import _LOWER, mix, slices, text_bytes
 from tidemark.stage import stage
 
 c = F.col
 DEPTH = 5
-BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 64 << 20
 END = 255
 LN2, LN10 = np.log(2.0), np.log(10.0)
 
@@ -197,12 +198,12 @@ class _Block:
     def rows(self, buckets: int):
         u, n = _merge(self.keys, self.counts)
         for b, own in _deal(_hash(u, buckets), buckets):
-            yield {"kind": "grams", "block": self.name, "bucket": b, "keys": u[own].tobytes(), "counts": n[own].tobytes()}
+            yield {"kind": "grams", "block": self.name, "bucket": b, "keys": packed_ascending(u[own]), "counts": packed(n[own])}
         words = list(self.words)
         n = np.fromiter(self.words.values(), np.int64, len(words))
         where = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         for b, own in _deal(where, buckets):
-            yield {"kind": "words", "block": self.name, "bucket": b, "keys": b" ".join([words[i] for i in own]), "counts": n[own].tobytes()}
+            yield {"kind": "words", "block": self.name, "bucket": b, "keys": zlib.compress(b" ".join([words[i] for i in own]), 1), "counts": packed(n[own])}
 
 
 def _blocks(depth: int, buckets: int):
@@ -240,8 +241,16 @@ def _blocks(depth: int, buckets: int):
     return run
 
 
-def _ints(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+def _keys(column) -> list[np.ndarray]:
+    return [unpacked_ascending(x) for x in column.to_pylist()]
+
+
+def _counts(column) -> list[np.ndarray]:
+    return [unpacked(x) for x in column.to_pylist()]
+
+
+def _words(packed_words: bytes) -> list[bytes]:
+    return zlib.decompress(packed_words).split(b" ")
 
 
 def _distinct(buckets: int):
@@ -249,8 +258,8 @@ def _distinct(buckets: int):
 
     def run(depth):
         def go(group: pa.Table) -> pa.Table:
-            u, n = _merge(_ints(group.column("keys")), _ints(group.column("counts")))
-            rows = [(b, u[own].tobytes(), n[own].tobytes()) for b, own in _deal(_hash(u >> (8 * (depth - 1)), buckets), buckets)]
+            u, n = _merge(_keys(group.column("keys")), _counts(group.column("counts")))
+            rows = [(b, packed_ascending(u[own]), packed(n[own])) for b, own in _deal(_hash(u >> (8 * (depth - 1)), buckets), buckets)]
             cols = list(zip(*rows)) or [[]] * 3
             return pa.table({"bucket": pa.array(cols[0], pa.int32()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
 
@@ -261,7 +270,7 @@ def _distinct(buckets: int):
 
 def _roots(depth: int):
     def go(group: pa.Table) -> pa.Table:
-        keys, counts = _merge(_ints(group.column("keys")), _ints(group.column("counts")))
+        keys, counts = _merge(_keys(group.column("keys")), _counts(group.column("counts")))
         nodes, zeros, ones, pw, _link = _subtrees(keys, counts, depth)[0][-1]
         up, _at, z, o, below = _parents(nodes, zeros, ones, pw)
         return pa.table({"node": up, "zeros": z, "ones": o, "children": below})
@@ -271,9 +280,9 @@ def _roots(depth: int):
 
 def _scored(depth: int, top, buckets: int):
     def go(group: pa.Table) -> pa.Table:
-        keys, counts = _merge(_ints(group.column("keys")), _ints(group.column("counts")))
+        keys, counts = _merge(_keys(group.column("keys")), _counts(group.column("counts")))
         p = _log10_of(keys, counts, depth, top)
-        rows = [(b, keys[own].tobytes(), p[own].tobytes()) for b, own in _deal(_hash(keys, buckets), buckets)]
+        rows = [(b, packed_ascending(keys[own]), p[own].tobytes()) for b, own in _deal(_hash(keys, buckets), buckets)]
         cols = list(zip(*rows)) or [[]] * 3
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "keys": pa.array(cols[1], pa.binary()), "values": pa.array(cols[2], pa.binary())})
 
@@ -282,13 +291,13 @@ def _scored(depth: int, top, buckets: int):
 
 def _returned(asked: pa.Table, known: pa.Table) -> pa.Table:
     """One hash bucket: the values of the grams of each block."""
-    keys = _ints(known.column("keys"))
+    keys = _keys(known.column("keys"))
     keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     values = [np.frombuffer(x, np.float64) for x in known.column("values").to_pylist()]
     values = np.concatenate(values) if values else np.zeros(0)
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    out = [values[np.searchsorted(keys, own)].tobytes() for own in _ints(asked.column("keys"))]
+    out = [values[np.searchsorted(keys, own)].tobytes() for own in _keys(asked.column("keys"))]
     n = asked.num_rows
     return pa.table({"kind": pa.array(["grams"] * n), "block": asked.column("block"), "keys": asked.column("keys"), "values": pa.array(out, pa.binary()), "n": pa.nulls(n, pa.int64()), "types": pa.nulls(n, pa.int64())})
 
@@ -296,11 +305,11 @@ def _returned(asked: pa.Table, known: pa.Table) -> pa.Table:
 def _word_totals(group: pa.Table) -> pa.Table:
     """One bucket of words: corpus counts for each block, and one row with the bucket's totals."""
     total: dict[bytes, int] = {}
-    lists = [k.split(b" ") for k in group.column("keys").to_pylist()]
-    for words, n in zip(lists, _ints(group.column("counts"))):
+    lists = [_words(k) for k in group.column("keys").to_pylist()]
+    for words, n in zip(lists, _counts(group.column("counts"))):
         for w, x in zip(words, n.tolist()):
             total[w] = total.get(w, 0) + x
-    out = [np.fromiter([total[w] for w in words], np.int64, len(words)).tobytes() for words in lists]
+    out = [packed(np.fromiter([total[w] for w in words], np.int64, len(words))) for words in lists]
     n = len(lists)
     return pa.table(
         {
@@ -319,7 +328,7 @@ class _Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(10, int(np.ceil(np.log2(len(keys) + 1))) + 2)
+        self.bits = max(10, int(np.ceil(np.log2(len(keys) + 1))) + 1)
         self.tables, rest = [], np.arange(len(keys), dtype=np.int32)
         for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             table = np.zeros(1 << self.bits, np.int32)
@@ -346,14 +355,14 @@ def _scores(depth: int, n_train: int, n_types: int, ends: int):
     def go(docs: pa.Table, facts: pa.Table) -> pa.Table:
         kind = facts.column("kind").to_pylist()
         blobs = list(zip(kind, facts.column("keys").to_pylist(), facts.column("values").to_pylist()))
-        keys = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(k, np.int64) for x, k, _ in blobs if x == "grams"]])
+        keys = np.concatenate([np.zeros(0, np.int64), *[unpacked_ascending(k) for x, k, _ in blobs if x == "grams"]])
         values = np.concatenate([np.zeros(0), *[np.frombuffer(v, np.float64) for x, _, v in blobs if x == "grams"]])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         count: dict[bytes, int] = {}
         for x, k, v in blobs:
             if x == "words":
-                count.update(zip(k.split(b" "), np.frombuffer(v, np.int64).tolist()))
+                count.update(zip(_words(k), unpacked(v).tolist()))
         find = _Lookup(keys)
         whole = np.log10(n_train + n_types + 1)
         rows = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
