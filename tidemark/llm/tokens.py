@@ -18,6 +18,7 @@ strings inside texts are handled as the library does by default (one token each)
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections import Counter
@@ -32,7 +33,7 @@ from tidemark.llm.words import slices, text_bytes
 from tidemark.stage import stage
 
 c = F.col
-BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES, AT_ONCE = 12 << 20, 32 << 20, 2_000
 LIMIT = 2048
 
 
@@ -45,6 +46,7 @@ def vocabulary(name: str) -> str:
 def _encode(path: str):
     """Number of pieces of each given text."""
     if path.endswith(".json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -110,8 +112,8 @@ def _pieces(path: str):
             for w in words:
                 known.setdefault(w, 0)
         words = list(known)
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
+        for a in range(0, len(words), AT_ONCE):
+            part = words[a : a + AT_ONCE]
             known.update(zip(part, encode([w.decode("utf-8", "replace") for w in part])))
         counts = [packed(np.fromiter([known[w] for w in words], np.int64, len(words))) for words in lists]
         return pa.table({"block": pa.array(blocks, pa.string()), "codes": pa.array(codes, pa.binary()), "counts": pa.array(counts, pa.binary())})
