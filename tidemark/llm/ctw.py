@@ -43,7 +43,7 @@ from tidemark.stage import stage
 
 c = F.col
 DEPTH = 5
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 END = 255
 LN2, LN10 = np.log(2.0), np.log(10.0)
 
@@ -191,7 +191,7 @@ class _Block:
     def add(self, keys, counts):
         self.keys.append(keys)
         self.counts.append(counts)
-        if sum(map(len, self.keys)) > 4_000_000:
+        if sum(map(len, self.keys)) > 2_000_000:
             u, n = _merge(self.keys, self.counts)
             self.keys, self.counts = [u], [n]
 
