@@ -52,42 +52,53 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     ``keys``: ``key``, ``node``, one row per table a set is in; ``sizes``: ``node``, ``n``; ``sets_of(nodes)``
     gives ``node``, ``shingles`` of the asked nodes; ``known``: ``a``, ``b`` links that hold anyway.  No link between two sets that meet in a bucket is lost:
 
-    1. each set is compared with the smallest set of each of its buckets (a star, linear in the rows);
-    2. what is verified is merged; where a bucket still holds several components, every pair of
-       different components is compared, unless one of two bounds rules it out: Jaccard distance is a
-       metric, so ``|d(l,x) - d(l,y)| <= d(x,y)`` for the bucket's smallest set l; and shingles that
-       none of the sets still in question shares are in no intersection, which leaves few pairs in a
-       large family of copies that were each edited in their own way.
+    1. each set is compared with the smallest set of each of its buckets (a star, linear in the rows) and
+       what is verified is merged;
+    2. where a bucket still holds several components, shingles that none of the sets in question shares
+       are counted: they are in no intersection, so a set with too many of them has no link left.  The
+       others are compared with the set of their bucket that has the smallest share of such shingles,
+       the likeliest original of a family of copies, and merged again;
+    3. in buckets that are still mixed every pair of different components is compared, unless a bound
+       rules it out: the private shingles again, or Jaccard distance being a metric, so that
+       ``|d(l,x) - d(l,y)| <= d(x,y)`` for the set l of step 2.
     """
     room = (100 - percent) / 100 + 1e-9
+    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_top")).where("lead != _top").drop("_top")
     shared = stage(keys.join(lead, "key"), "buckets")  # rows of buckets with two sets or more
-    star = shared.where("lead != node").select(c("lead").alias("a"), c("node").alias("b")).distinct()
-    one, two = sizes.select(c("node").alias("a"), c("n").alias("_na")), sizes.select(c("node").alias("b"), c("n").alias("_nb"))
-    star = stage(star.join(one, "a").join(two, "b"), "star")
+    star = stage(shared.where("lead != node").select(*ordered(c("lead"), c("node"))).distinct(), "star")
     nodes = star.select(c("a").alias("node")).union(star.select(c("b").alias("node"))).distinct()
     sets = stage(sets_of(nodes), "sets")
     first = stage(verified(star, sets, percent), "verified")
     comp = stage(components(first.where("linked")), "components")
-    # the second step sees each set's distance to the smallest set of its bucket
-    far = first.select(c("a").alias("lead"), c("b").alias("node"), (1 - c("overlap") / c("total")).alias("d"))
-    rows = shared.join(far, ["lead", "node"], "left").join(sizes, "node").join(comp, "node", "left")
-    rows = rows.select("key", "node", "n", "lead", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
-    left = stage(rows.where("node != lead").join(mixed, "key"), "mixed")
-    # shingles that no other of these sets has can be in no intersection
+
+    def mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows of buckets with two components or more, with their components."""
+        rows = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
+        return rows.join(several, "key")
+
+    left = stage(mixed(shared.select("key", "node"), comp).drop("component").join(sizes, "node"), "mixed")
     own = sets.join(left.select("node").distinct(), "node").select("node", F.explode("shingles").alias("s"))
     private = own.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("_top")).where("node = _top").groupBy("node").agg(F.count("*").alias("u"))
-    left = left.join(private, "node", "left").withColumn("shared", c("n") - F.coalesce("u", F.lit(0)))
-    left = stage(left.where(100 * c("shared") >= percent * c("n")).drop("u"), "open")
+    left = left.join(private, "node", "left").withColumn("common", c("n") - F.coalesce("u", F.lit(0)))
+    left = stage(left.where(100 * c("common") >= percent * c("n")).drop("u"), "open")
+    best = left.groupBy("key").agg(F.min(F.struct((1 - c("common") / c("n")).alias("share"), c("node").alias("near"))).alias("_b")).select("key", "_b.near")
+    left = stage(left.join(best, "key"), "led")
+    star = left.where("near != node").select(*ordered(c("near"), c("node"))).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = stage(verified(star, sets, percent), "verified")
+    tested = first.union(second)
+    comp = stage(components(tested.where("linked").select("a", "b")), "components")
+    far = tested.select("a", "b", (1 - c("overlap") / c("total")).alias("d")).dropDuplicates(["a", "b"])
+    left = left.select("*", *ordered(c("near"), c("node"))).join(far, ["a", "b"], "left").drop("a", "b").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    left = stage(mixed(left, comp), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    most = F.least("x.shared", "y.shared")
+    most = F.least("x.common", "y.common")
     near = (
         (c("x.key") == c("y.key")) & (c("x.component") < c("y.component")) & (F.abs(c("x.d") - c("y.d")) <= room)
         & (100 * most >= percent * (c("x.n") + c("y.n") - most))
     )
-    rest = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(rest, sets, percent)
-    links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
+    rest = x.join(y, near).select(*ordered(c("x.node"), c("y.node"))).distinct()
+    third = verified(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
+    links = tested.where("linked").select("a", "b").union(third.where("linked").select("a", "b"))
     return components(links if known is None else links.union(known.select("a", "b")))
