@@ -3,10 +3,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.special import beta_inc, binomial_interval, t_two_sided
 from tidemark.operators import kernels as K
+from tidemark.panel import Panel
 
 rng = np.random.default_rng(11)
 WALK = 100 * np.cumprod(1 + rng.normal(0, 0.02, 400))
@@ -177,3 +180,17 @@ def test_special_functions():
     lo, hi = binomial_interval(np.array([0, 5, 10]), np.array([10, 10, 10]))
     assert lo[0] == 0 and hi[2] == 1
     assert lo[1] == pytest.approx(0.187086, abs=1e-6) and hi[1] == pytest.approx(0.812914, abs=1e-6)
+
+
+def test_gaps_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(9)
+    x = 100 * np.cumprod(1 + rng.normal(0, 0.02, 400))
+    x[[0, 1, 90, 91, 92, 250]] = np.nan
+    days = pd.date_range("2001-01-01", periods=400, freq="D").date
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "ts": days, "x": x})).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    kernel = [K.Kernel("rank", "x", K.percent_rank, 60, 20)]
+    want = pd.Series(x).rolling(60, min_periods=20).apply(lambda w: ((w < w[-1]).sum() + (w <= w[-1]).sum() + 1) / 2 / (~np.isnan(w)).sum(), raw=True)
+    for size in (64, 100, 4096):
+        got = K.apply_kernels(df, Panel(chunk_rows=size), kernel).orderBy("ts").toPandas()["rank"]
+        known = ~np.isnan(x)
+        np.testing.assert_allclose(got[known], want[known])

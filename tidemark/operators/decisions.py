@@ -74,43 +74,30 @@ def decide(
     rate: str = "cash_rate",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Decision rows with what they earn until the next decision, in one pass over a dense panel.
+    """Decision rows with what they earn until the next decision.
 
-    ``signals`` has price, sma_short, sma_long, pred, p_up and a daily cash rate.  The calendar has
-    at least one decision a week, so the next decision is within 7 rows: a bounded look-ahead, no
-    self-join.  A cash index that grows inside the chunk gives the cash return of (d0, d1] as a
-    ratio of two of its values.  The last decision ends at the last row of its series.
+    ``signals`` has price, sma_short, sma_long, pred, p_up and a daily cash rate.  The next decision may
+    be any number of rows ahead: it is a running value from the end of the series over chunk
+    summaries, no self-join and no look-ahead limit.  A cash index that grows from the start of the
+    series gives the cash return of (d0, d1] as a ratio of two of its values.  The last decision ends
+    at the last row of its series.
     """
-    reach = 7
-    f = panel.halo(signals, back=1, ahead=reach)
+    f = panel.halo(signals, back=1)
     w = panel.window()
-    before = Window.partitionBy(*panel.keys, CHUNK).orderBy(panel.ts).rowsBetween(Window.unboundedPreceding, 0)
     in_range = F.lit(True) if start is None else (c(panel.ts) >= F.lit(start).cast("date"))
     prev_in_range = F.lag(in_range, 1).over(w)
     ret = F.try_divide("price", F.lag("price", 1).over(w)) - 1
-    f = f.withColumns(
-        {
-            "daily_ret": ret,
-            # the move is measured inside the range, so its first row never fires
-            "_move": large_move(F.when(prev_in_range, ret), threshold),
-            "_cash": F.product(1 + c(rate)).over(before),
-        }
-    )
-    f = f.withColumns(
-        {
-            "_dec": in_range & (on_calendar(c(panel.ts), weekdays) | c("_move")),
-            "_here": F.struct(c(panel.ts).alias("ts"), c("price"), c("_cash")),
-        }
-    )
-    ahead = w.rowsBetween(1, reach)
-    upto = w.rowsBetween(0, reach)
-    f = f.withColumn(
-        "_to",
-        F.coalesce(
-            F.first(F.when(c("_dec"), c("_here")), ignorenulls=True).over(ahead), F.last("_here").over(upto)
-        ),
+    # the move is measured inside the range, so its first row never fires
+    f = f.withColumns({"daily_ret": ret, "_move": large_move(F.when(prev_in_range, ret), threshold)})
+    f = panel.owned(f).withColumn("_dec", in_range & (on_calendar(c(panel.ts), weekdays) | c("_move")))
+    f = panel.running(f, {"_cash": Running(1 + c(rate), "product")})
+    here = F.struct(c(panel.ts).alias("ts"), c("price"), c("_cash"))
+    f = panel.running(
+        f.withColumn("_here", here),
+        {"_next": Running(F.when(c("_dec"), c("_here")), "last", exclusive=True), "_end": Running(c("_here"), "first")},
+        reverse=True,
     )
-    d = panel.owned(f).filter(c("_dec"))
+    d = f.filter(c("_dec")).withColumn("_to", F.coalesce("_next", "_end"))
     regime = sma_regime(c("price"), c("sma_short"), c("sma_long"))
     conf = confidence(c("p_up"), scale)
     d = d.withColumn("regime", regime).withColumns({"k": multiplier(c("regime"), k), "conf": conf})

@@ -222,10 +222,12 @@ reg.add("oi_ma7", "open_interest", lambda s: R.mean("open_interest", s.w, 7), ba
 # -- fractional differencing: static weights, so a plain sum of lags ---------------------------
 
 
-def fracdiff_weights(d: float, threshold: float, limit: int = 10_000) -> list[float]:
+def fracdiff_weights(d: float, threshold: float) -> list[float]:
     """Weights until one falls to the threshold, that one included."""
+    if threshold <= 0 or d <= -1:
+        raise ValueError("the weights never fall to the threshold")
     w = [1.0]
-    while abs(w[-1]) > threshold and len(w) < limit:
+    while abs(w[-1]) > threshold:
         k = len(w)
         w.append(-w[-1] * (d - k + 1) / k)
     return w

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.panel import Panel, Running
 
 c = F.col
+_SALTS, _DAYS = 16, 64
 
 
 def asof(
@@ -30,9 +31,10 @@ def asof(
     l = left.select(*panel.keys, panel.ts, F.struct(*lcols).alias("_l") if lcols else F.struct(F.lit(1).alias("_one")).alias("_l"))
     r = right.select(*panel.keys, panel.ts, pack.alias("_r"))
     both = l.unionByName(r, allowMissingColumns=True)
-    # several rows share a time step: right rows sort before left rows unless strict
+    # several rows share a time step: right rows sort before left rows unless strict; of right rows with
+    # one time the largest values win, so the pick never depends on the order of arrival
     side = F.when(c("_r").isNotNull(), 1 if strict else 0).otherwise(0 if strict else 1)
-    ordered = _OrderedPanel(panel, side)
+    ordered = _OrderedPanel(panel, side, c("_r"))
     out = ordered.running(both, {"_m": Running(c("_r"), "last")})
     out = out.filter(c("_l").isNotNull())
     picked = out.select(
@@ -40,7 +42,7 @@ def asof(
     )
     if not fallback_first:
         return picked
-    first = right.groupBy(*panel.keys).agg(F.min_by(pack, c(panel.ts)).alias("_f"))
+    first = right.groupBy(*panel.keys).agg(F.min_by(pack, F.struct(c(panel.ts), pack)).alias("_f"))
     out = picked.join(first, list(panel.keys), "left")
     return out.select(
         *[x for x in picked.columns if x not in values],
@@ -51,13 +53,13 @@ def asof(
 class _OrderedPanel:
     """``Panel.running`` with a side flag that breaks ties within a time step."""
 
-    def __init__(self, panel: Panel, side: Column):
-        self.panel, self.side = panel, side
+    def __init__(self, panel: Panel, side: Column, tie: Column):
+        self.panel, self.side, self.tie = panel, side, tie
 
     def running(self, df: DataFrame, specs: Mapping[str, Running]) -> DataFrame:
         # time and side as one sortable value; chunk arithmetic stays on the time alone
         key = "_tk"
-        df = df.withColumn(key, F.struct(c(self.panel.ts).alias("t"), self.side.alias("s")))
+        df = df.withColumn(key, F.struct(c(self.panel.ts).alias("t"), self.side.alias("s"), self.tie.alias("o")))
         wrapped = _StructPanel(self.panel.keys, key, self.panel.step, self.panel.chunk_rows)
         return wrapped.running(df, specs).drop(key)
 
@@ -71,25 +73,17 @@ def asof_global(
     left: DataFrame, right: DataFrame, ts: str, effective: str, values: Sequence[str],
     strict: bool = False, fallback_first: bool = False,
 ) -> DataFrame:
-    """As-of against a short keyless history (rates, model cutoffs).
+    """As-of against a keyless history (rates, model cutoffs) of any length.
 
-    The history is aggregated to one sorted array, a scalar subquery; each left row picks its entry
-    with an array expression, so the left side is not shuffled.  The length is checked: a history
-    of more than 10,000 entries is turned away, use ``asof`` with a key.
+    Left rows are dealt over ``_SALTS`` salts and the history is copied to each, so the salts are keys of
+    ``asof``: its chunks of time spread the rows further, and no side is held whole anywhere.
     """
-    limit = 10_000
-    n = right.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"history of more than {limit} rows: give both sides a key and use asof")
-    packed = right.agg(F.array_sort(F.collect_list(F.struct(c(effective).alias("e"), *[c(v).alias(f"v_{v}") for v in values]))).alias("_h"))
-    j = left.withColumn("_h", packed.scalar())
-    ok = (lambda x: x["e"] < c(ts)) if strict else (lambda x: x["e"] <= c(ts))
-    hit = F.element_at(F.filter("_h", ok), -1)
-    hit = F.when(F.size(F.filter("_h", ok)) > 0, hit)
-    if fallback_first:
-        hit = F.coalesce(hit, F.get("_h", F.lit(0)))
-    j = j.withColumn("_hit", hit)
-    return j.select(*left.columns, *[c(f"_hit.v_{v}").alias(v) for v in values])
+    panel = Panel(("_salt",), ts, "day", _DAYS)
+    l = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(_SALTS)).cast("int"))
+    r = right.select(c(effective).alias(ts), *[c(v).alias(f"_h_{v}") for v in values]).where(c(ts).isNotNull())
+    r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    out = asof(l, r, panel, [f"_h_{v}" for v in values], strict, fallback_first)
+    return out.select(*left.columns, *[c(f"_h_{v}").alias(v) for v in values])
 
 
 def fresh_columns(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -58,27 +58,26 @@ def apply_kernels(df: DataFrame, panel: Panel, kernels: Sequence[Kernel]) -> Dat
 
 
 def _roll(x: np.ndarray, rows: np.ndarray, k: Kernel) -> np.ndarray:
+    """The kernel over the known values of each row's last ``n`` rows, where there are ``m`` or more.
+
+    One rule for the first rows of a series and for gaps, so a result never depends on where a chunk
+    begins.  Windows without a gap are done together."""
     res = np.full(len(x), np.nan)
-    last = len(x) - 1
     n, m = k.n, k.n if k.m is None else k.m
-    need = np.zeros(len(x), bool)
-    need[rows] = True
-    known = np.flatnonzero(~np.isnan(x))
-    if not len(known):
-        return res
-    first = known[0]  # leading unknowns (the first return of a series) are not part of a window
+    known = ~np.isnan(x)
+    total = np.concatenate(([0], np.cumsum(known)))
+    end = rows - k.offset
+    rows, end = rows[end >= 0], end[end >= 0]
+    low = np.maximum(end - n + 1, 0)
+    count = total[end + 1] - total[low]
+    full = count == n
     with np.errstate(all="ignore"):
-        if len(x) - first >= n:
-            view = np.lib.stride_tricks.sliding_window_view(x[first:], n)
-            ends = np.arange(first + n - 1, last + 1)
-            pick = (ends + k.offset <= last) & need[np.minimum(ends + k.offset, last)] & ~np.isnan(view).any(axis=1)
-            if pick.any():
-                res[ends[pick] + k.offset] = k.fn(view[pick])
-        for size in range(m, min(n, len(x) - first + 1)):
-            at = first + size - 1 + k.offset
-            w = x[first : first + size]
-            if at <= last and need[at] and not np.isnan(w).any():
-                res[at] = k.fn(w[None, :])[0]
+        if full.any():
+            view = np.lib.stride_tricks.sliding_window_view(x, n)
+            res[rows[full]] = k.fn(view[low[full]])
+        for i in np.flatnonzero(~full & (count >= max(m, 1))):
+            w = x[low[i] : end[i] + 1]
+            res[rows[i]] = k.fn(w[~np.isnan(w)][None, :])[0]
     return res
 
 

@@ -14,52 +14,40 @@ _ACCURACY = 10_000
 def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, qs: Sequence[float], out: str = "quantiles") -> DataFrame:
     """Linearly interpolated quantiles per group as an array in the order of ``qs``.
 
-    ``percentile`` keeps every distinct value of a group in one task.  Here a mergeable sketch first
-    brackets each quantile; a second pass counts what lies below the bracket and ranks only the few
-    values inside it, with duplicates collapsed to counts.  The result is exact: if a bracket ever
-    missed its rank the job fails instead of answering.
+    ``percentile`` keeps every distinct value of a group in one task.  Here a mergeable sketch gives two
+    edges around each quantile; exact counts between the edges tell in which interval each rank lies,
+    and only these intervals are ranked, each by itself and with duplicates collapsed to counts.  The
+    result is exact whatever the edges are: a poor sketch only makes an interval longer.
     """
     rows = df.filter(c(x).isNotNull()).select(*by, c(x).cast("double").alias("_v"))
     pad = 2 / _ACCURACY
-    lows = F.array(*[F.lit(max(q - pad, 0.0)) for q in qs])
-    highs = F.array(*[F.lit(min(q + pad, 1.0)) for q in qs])
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lows, F.lit(_ACCURACY)).alias("_lo"),
-        F.percentile_approx("_v", highs, F.lit(_ACCURACY)).alias("_hi"),
-    )
-    # the pad is 2 n / accuracy ranks, twice the sketch error; below this size that is too few ranks
-    # to be sure of, and the whole group is small enough to be its own bracket
-    small = c("_n") <= 5 * _ACCURACY
-    marks = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small, c("_min")).otherwise(F.get("_lo", F.lit(i))).alias("lo"),
-                F.when(small, c("_max")).otherwise(F.get("_hi", F.lit(i))).alias("hi"),
-                (F.lit(float(q)) * (c("_n") - 1)).alias("rank"),
-            )
-            for i, q in enumerate(qs)
-        ]
-    )
-    sketch = sketch.select(*by, marks.alias("_marks"))
+    near = sorted({min(max(q + s, 0.0), 1.0) for q in qs for s in (-pad, pad)})
+    sketch = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", F.array(*map(F.lit, near)), F.lit(_ACCURACY))).alias("_edges"))
     # one sketch row per group; without keys it is a scalar
-    j = rows.join(sketch, list(by)) if by else rows.withColumn("_marks", sketch.scalar())
-    j = j.select(*by, "_v", F.explode("_marks").alias("_m")).select(*by, "_v", "_m.*").filter(c("_v") <= c("hi"))
-    inside = c("_v") >= c("lo")
-    counts = j.groupBy(*by, "i", "rank", F.when(inside, c("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(*by, "i").orderBy(c("_v").asc_nulls_first())
-    ranked = counts.withColumn("_cum", F.sum("_k").over(w))
-    floor = F.floor("rank")
+    j = rows.join(sketch, list(by)) if by else rows.withColumn("_edges", sketch.scalar())
+    j = j.select(*by, "_v", F.size(F.filter("_edges", lambda e: e < c("_v"))).alias("_k"))
+    inner = j.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_c"))
+    # a group has two intervals per quantile and one more
+    w = Window.partitionBy(*by)
+    inner = inner.withColumns(
+        {
+            "_n": F.sum("_c").over(w),
+            "_before": F.coalesce(F.sum("_c").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        }
+    )
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (c("_n") - 1)).alias("rank")) for i, q in enumerate(qs)])
+    wanted = F.filter(ranks, lambda m: (F.floor(m["rank"]) < c("_before") + c("_c")) & (F.ceil(m["rank"]) >= c("_before")))
+    inner = inner.select(*by, "_k", "_before", wanted.alias("_wanted")).where(F.size("_wanted") > 0)
+    values = j.groupBy(*by, "_k", "_v").agg(F.count(F.lit(1)).alias("_m")).join(inner, [*by, "_k"])
+    # the running count comes before rows are multiplied by the ranks they answer for
+    values = values.withColumn("_cum", c("_before") + F.sum("_m").over(Window.partitionBy(*by, "_k").orderBy("_v")))
+    ranked = values.select(*by, "_v", "_cum", F.explode("_wanted").alias("_w")).select(*by, "_v", "_cum", "_w.*")
     # first value whose running count passes the 0-based rank
-    lo_v = F.min(F.when(c("_cum") > floor, F.struct("_cum", "_v")))
-    hi_v = F.min(F.when(c("_cum") > F.ceil("rank"), F.struct("_cum", "_v")))
-    per = ranked.groupBy(*by, "i", "rank").agg(lo_v.alias("_a"), hi_v.alias("_b"))
-    bad = c("_a._v").isNull() | c("_b._v").isNull()
-    val = c("_a._v") + (c("rank") - floor) * (c("_b._v") - c("_a._v"))
-    per = per.withColumn("_q", F.when(bad, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(val))
+    floor = F.floor("rank")
+    per = ranked.groupBy(*by, "i", "rank").agg(
+        F.min(F.when(c("_cum") > floor, c("_v"))).alias("_a"), F.min(F.when(c("_cum") > F.ceil("rank"), c("_v"))).alias("_b")
+    )
+    per = per.withColumn("_q", c("_a") + (c("rank") - floor) * (c("_b") - c("_a")))
     packed = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "_q"))).alias("_qs"))
     return packed.select(*by, F.transform("_qs", lambda s: s["_q"]).alias(out))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -83,11 +84,17 @@ def training_rows(df: DataFrame, panel: Panel, cutoffs: Sequence[str], horizon:
     return d.filter((at >= start) & (at <= c("_n") - gap)).drop("_i", "_i0", "_n")
 
 
-# fixed values: cumulative Poisson(1) probabilities P(X <= 0..9)
-_POISSON1 = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
-]
+def _poisson1() -> list[float]:
+    """Cumulative Poisson(1) probabilities P(X <= 0), P(X <= 1), ... as far as a double tells them from 1."""
+    out, term, k = [], math.exp(-1), 0
+    while not out or math.fsum([out[-1], term]) > out[-1]:
+        out.append(math.fsum([out[-1], term]) if out else term)
+        k += 1
+        term /= k
+    return out
+
+
+_POISSON1 = _poisson1()
 
 
 def bootstrap_weight(seed: int, bag: Column, *row_key: Column) -> Column:

@@ -226,7 +226,7 @@ def numbered(df: DataFrame, panel: Panel) -> tuple[DataFrame, Panel]:
 class Running:
     """One cumulative column: ``kind`` of (value) over everything up to the row.
 
-    kinds: last, sum, max, min, product, count, prev.  ``prev`` is the value of the row before
+    kinds: first, last, sum, max, min, product, count, prev.  ``prev`` is the value of the row before
     (nulls kept), the rest include the current row unless ``exclusive``.
     """
 
@@ -247,6 +247,9 @@ class Running:
         if self.kind in ("last", "prev"):
             pick = F.min_by if reverse else F.max_by
             return pick(v, F.when(v.isNotNull(), ts))
+        if self.kind == "first":
+            pick = F.max_by if reverse else F.min_by
+            return pick(v, F.when(v.isNotNull(), ts))
         return self._agg(v)
 
     def _agg(self, v: Column) -> Column:
@@ -257,6 +260,8 @@ class Running:
     def merge(self, v: Column, w: WindowSpec) -> Column:
         if self.kind in ("last", "prev"):
             return F.last(v, ignorenulls=True).over(w)
+        if self.kind == "first":
+            return F.first(v, ignorenulls=True).over(w)
         return self._agg(v).over(w)
 
     def over(self, v: Column, w: WindowSpec) -> Column:
