@@ -126,3 +126,25 @@ def test_model_features(spark, base):
     pdf = out.toPandas()
     assert len(set(MODEL_FEATURES)) == 32 and set(MODEL_FEATURES) <= set(pdf.columns)
     assert len(pdf) == 2 * N and not pdf[MODEL_FEATURES].isna().any().any()
+
+
+def test_recursive_averages_keep_their_digits_on_flat_runs(spark):
+    """Bars that move for 100 rows and then stand still: directional movement by the plain recursion."""
+    n = 1500
+    r = np.random.default_rng(2)
+    close = np.concatenate([100 * np.cumprod(1 + r.normal(0, 0.02, 100)), np.zeros(n - 100)])
+    close[100:] = close[99]
+    high, low = close.copy(), close.copy()
+    high[:100] *= 1.01
+    low[:100] *= 0.99
+    days = pd.date_range("2000-01-01", periods=n, freq="D").date
+    pdf = pd.DataFrame({"series_id": "s", "ts": days, "open": close, "high": high, "low": low, "close": close, "volume": 1.0})
+    df = spark.createDataFrame(pdf).withColumn("series_start", F.lit(days[0]))
+    tables = [FEATURES.build(df, Panel(chunk_rows=k), ["plus_di", "minus_di", "adx", "ema_12"])[0].orderBy("ts").toPandas() for k in (64, 4096)]
+    ema = pd.Series(close).ewm(alpha=2 / 13, adjust=False).mean()
+    for t in tables:
+        np.testing.assert_allclose(t.ema_12, ema, rtol=1e-12)
+        last = t.iloc[-1]
+        assert last.plus_di > 1 and last.minus_di > 1 and last.adx > 1
+        np.testing.assert_allclose(t[["plus_di", "minus_di", "adx"]].iloc[200:], np.tile(t[["plus_di", "minus_di", "adx"]].iloc[[-1]].to_numpy() * [1, 1, 0], (1300, 1)) + np.outer(t.adx.iloc[200:], [0, 0, 1]), rtol=1e-6)
+    np.testing.assert_allclose(tables[0].iloc[:, 2:].astype(float), tables[1].iloc[:, 2:].astype(float), rtol=1e-9)

@@ -45,18 +45,67 @@ class Scope:
     def since_start(self) -> Column:
         return self.panel.pos() - self.panel.pos(F.col("series_start"))
 
-    def blocks(self, size: int) -> WindowSpec:
-        """Fixed blocks counted from the start of the series, so every block but the last is full."""
-        block = F.floor(self.since_start() / size)
-        return Window.partitionBy(*self.panel.keys, CHUNK, block).orderBy(self.panel.ts)
-
     def first_row(self) -> Column:
         return F.col(self.panel.ts) == F.col("series_start")
 
 
+def _not_a_window(s: Scope) -> Column:
+    raise ValueError("a recursive column is made by build, not by a window")
+
+
+def _folds(d: float):
+    """One step over a piece (m rows, value v), on the value alone and on the list of all values so far."""
+    step = lambda y, e: y * F.pow(F.lit(d), e["m"]) + e["v"]
+    return step, lambda ys, e: F.concat(ys, F.array(step(F.element_at(ys, -1), e)))
+
+
+def affine(df: DataFrame, panel: Panel, specs: dict[str, tuple[str, float]]) -> DataFrame:
+    """Adds y[0] = x[0], y[t] = (1-alpha) y[t-1] + alpha x[t] for each name: (x, alpha), exactly.
+
+    An affine scan in three steps.  Inside a block of at most 128 rows the recursion has the closed form
+    sum(w_j x_j d^-j) d^i, with d^-128 far from overflow.  The ends of a chunk's blocks are folded in
+    order, and so are the ends of a series' chunks, a pair (decay, value) each; every row then adds
+    what its block starts from.  Nothing is cut off, so a value keeps its digits however long the rows
+    after it are zero.  A chunk is one task, the chunks of a series are one small row each.
+    """
+    keys, first = list(panel.keys), F.col(panel.ts) == F.col("series_start")
+    begin = F.greatest(panel.chunk() * panel.chunk_rows, panel.pos(F.col("series_start")))
+    base = df.withColumn(CHUNK, panel.chunk()).repartition(*keys, CHUNK).withColumn("_i", panel.pos() - begin)
+    size = {n: max(1, min(128, int(30 / -math.log(1 - alpha)))) for n, (_, alpha) in specs.items()}
+    inside, ends, starts, values = {}, [], {}, {}
+    for n, (x, alpha) in specs.items():
+        d, b = 1.0 - alpha, size[n]
+        at = F.pmod(F.col("_i"), F.lit(b))
+        w = Window.partitionBy(*keys, CHUNK, F.floor(F.col("_i") / b)).orderBy(panel.ts).rowsBetween(Window.unboundedPreceding, 0)
+        inside[f"_in_{n}"] = F.sum(F.when(first, F.lit(1.0)).otherwise(F.lit(alpha)) * F.col(x) * F.pow(F.lit(d), -at)).over(w) * F.pow(F.lit(d), at)
+        # the last row of each block, in order: the longest prefix of every block
+        ends.append(F.sort_array(F.collect_list(F.when((at == b - 1) | F.col("_last"), F.struct(F.col("_i").alias("i"), (at + 1).alias("m"), F.col(f"_in_{n}").alias("v"))))).alias(f"_e_{n}"))
+    rows = base.withColumns(inside)
+    tail = Window.partitionBy(*keys, CHUNK)
+    rows = rows.withColumn("_last", F.col("_i") == F.max("_i").over(tail))
+    chunks = rows.groupBy(*keys, CHUNK).agg(*ends)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    for n, (_, alpha) in specs.items():
+        step, steps = _folds(1.0 - alpha)
+        whole = F.struct(
+            F.aggregate(f"_e_{n}", F.lit(0).cast("long"), lambda a, e: a + e["m"]).alias("m"), F.aggregate(f"_e_{n}", F.lit(0.0), step).alias("v")
+        )
+        starts[f"_y_{n}"] = F.aggregate(F.collect_list(whole).over(before), F.lit(0.0), step)
+        # what each block of the chunk starts from
+        values[f"_c_{n}"] = F.aggregate(f"_e_{n}", F.array(F.col(f"_y_{n}")), steps)
+    chunks = chunks.withColumns(starts).withColumns(values).select(*keys, CHUNK, *values)
+    out = rows.join(chunks, [*keys, CHUNK])
+    made = {}
+    for n, (_, alpha) in specs.items():
+        at, block = F.pmod(F.col("_i"), F.lit(size[n])), F.floor(F.col("_i") / size[n]).cast("int")
+        made[n] = F.col(f"_in_{n}") + F.element_at(f"_c_{n}", block + 1) * F.pow(F.lit(1.0 - alpha), at + 1)
+    return out.withColumns(made).drop(CHUNK, "_i", "_last", *inside, *values)
+
+
 @dataclass
 class Registry:
     items: dict[str, Feature] = field(default_factory=dict)
+    recursive: dict[str, tuple[str, float]] = field(default_factory=dict)
 
     def add(self, name: str, inputs: str | Sequence[str], make, back: int = 0, ahead: int = 0, doc: str = "") -> None:
         ins = tuple(inputs.split()) if isinstance(inputs, str) else tuple(inputs)
@@ -65,44 +114,29 @@ class Registry:
     def ewm(self, name: str, x: str, alpha: float, doc: str = "") -> None:
         """y[0] = x[0], y[t] = (1-alpha) y[t-1] + alpha x[t]; x must not be null on the grid.
 
-        The recursion is an affine scan.  Inside a fixed block of B steps it has the closed form
-        sum(w_j x_j d^-j) d^i, with B small enough for d^-B to stay far from overflow.  Blocks are
-        joined by the end values of the blocks before, weighted by d^B per block, as far back as
-        a weight can still change a double (d^n < 1e-17); beyond that adding a term is a no-op.
+        ``build`` computes such columns exactly over the whole series (``affine``) before the features
+        that read them.  ``back`` is only what an incremental build has to read again: the rows after
+        which an old value no longer changes the last digits of a value of the same size.
         """
-        d = 1.0 - alpha
-        rate = -math.log(d)
-        size = max(1, min(128, int(30 / rate)))
-        reach = math.ceil(math.log(1e17) / rate)
-        n_blocks = math.ceil(reach / size) + 1
-        inner, tail = f"_in_{name}", f"_blk_{name}"
-
-        def term(s: Scope) -> Column:
-            i = F.pmod(s.since_start(), F.lit(size))
-            weight = F.when(s.first_row(), F.lit(1.0)).otherwise(F.lit(alpha))
-            return weight * F.col(x) * F.pow(F.lit(d), -i)
-
-        def inside(s: Scope) -> Column:
-            i = F.pmod(s.since_start(), F.lit(size))
-            w = s.blocks(size).rowsBetween(Window.unboundedPreceding, 0)
-            return F.sum(term(s)).over(w) * F.pow(F.lit(d), i)
-
-        def block_end(s: Scope) -> Column:
-            w = s.blocks(size).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            return F.sum(term(s)).over(w) * F.lit(d ** (size - 1))
-
-        def joined(s: Scope) -> Column:
-            i = F.pmod(s.since_start(), F.lit(size))
-            carry = F.lit(0.0)
-            for k in range(n_blocks, 0, -1):
-                end = F.coalesce(F.lag(F.col(tail), k * size).over(s.w), F.lit(0.0))
-                carry = carry * F.lit(d**size) + end
-            return F.col(inner) + carry * F.pow(F.lit(d), i + 1)
-
-        look = (n_blocks + 1) * size
-        self.add(inner, [x], inside)
-        self.add(tail, [x], block_end)
-        self.add(name, [inner, tail], joined, back=look, doc=doc)
+        self.recursive[name] = (x, alpha)
+        self.add(name, [x], _not_a_window, back=math.ceil(math.log(1e17) / -math.log(1.0 - alpha)), doc=doc)
+
+    def _recursive_in(self, have: Iterable[str], names: Sequence[str]) -> list[str]:
+        """Recursive columns that the names need and that are not there yet, inputs before users."""
+        have, found, seen = set(have), [], set()
+
+        def visit(n: str) -> None:
+            if n in have or n in seen or n not in self.items:
+                return
+            seen.add(n)
+            for i in self.items[n].inputs:
+                visit(i)
+            if n in self.recursive:
+                found.append(n)
+
+        for n in names:
+            visit(n)
+        return found
 
     # -- resolution ----------------------------------------------------------------------------
 
@@ -139,7 +173,8 @@ class Registry:
             span[n] = (back + f.back, ahead + f.ahead)
 
         for n in names:
-            visit(n)
+            if n not in have:
+                visit(n)
         stages: list[list[str]] = [[] for _ in range(max(depth.values(), default=-1) + 1)]
         for n, lv in depth.items():
             stages[lv].append(n)
@@ -162,9 +197,17 @@ class Registry:
         self, df: DataFrame, panel: Panel, names: Sequence[str], keep: Sequence[str] = ()
     ) -> tuple[DataFrame, dict[str, list[str]]]:
         """Keys, ts, ``keep`` and the requested features; plus {skipped feature: absent inputs}."""
+        pending = [n for n in self._recursive_in(df.columns, names) if not self.plan(df.columns, [n])[3]]
+        if pending:
+            ready = [n for n in pending if self._recursive_in(df.columns, [self.recursive[n][0]]) == []]
+            inputs = sorted({self.recursive[n][0] for n in ready} - set(df.columns))
+            given = [x for x in df.columns if x not in (*panel.keys, panel.ts)]
+            base, _ = self.build(df, panel, inputs, keep=given)
+            base = affine(base, panel, {n: self.recursive[n] for n in ready}).drop(*inputs)
+            return self.build(base, panel, names, keep)
         stages, back, ahead, skipped = self.plan(df.columns, names)
         done = [n for n in names if n not in skipped]
-        need = {i for st in stages for n in st for i in self.items[n].inputs}
+        need = {i for st in stages for n in st for i in self.items[n].inputs} | set(done)
         cols = [c for c in df.columns if c in need | set(panel.keys) | {panel.ts, "series_start"} | set(keep)]
         frame = panel.halo(df.select(*cols), back, ahead)
         frame = panel.owned(self.stack(frame, panel, stages))
