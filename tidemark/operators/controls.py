@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,11 +207,28 @@ def derisk_rule(rule: Column, alloc: Column, acc: Column, conf: Column, vol: Col
 TRIGGERS = {
     "drawdown": lambda p: c("drawdown_since") <= -p,
     "accuracy": lambda p: c("rolling_acc") < p,
-    "volatility": lambda p: c("vol_ratio") > p,
+    "volatility": lambda p: (c("vol_ratio") > p) | (c("vol_ratio") < 1 / p),
     "big_move": lambda p: F.abs("asset_ret") > p,
 }
 
 
+def since_retrain(df: DataFrame, panel: Panel, cutoff: str, equity: str = "equity", vol: str = "vol30") -> DataFrame:
+    """``drawdown_since``: equity against its peak since the retrain in ``cutoff``; ``vol_ratio``: volatility
+    over the first one known after it.  The rows between two retrains are one bounded group."""
+    w = Window.partitionBy(*panel.keys, cutoff).orderBy(panel.ts).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns(
+        {"drawdown_since": c(equity) / F.max(equity).over(w) - 1, "vol_ratio": F.try_divide(c(vol), F.first(vol, ignorenulls=True).over(w))}
+    )
+
+
+def trained_regime(daily: DataFrame, panel: Panel, regime: str, cutoff: Column, days: int = 30, out: str = "trained") -> DataFrame:
+    """Keys, ``cutoff_ts``, ``out``: the most frequent regime of the ``days`` before each retrain (of equally
+    frequent ones the first by name).  ``cutoff`` gives the first retrain after a day."""
+    d = daily.withColumn("cutoff_ts", cutoff).where(F.datediff("cutoff_ts", c(panel.ts)) <= days)
+    n = d.groupBy(*panel.keys, "cutoff_ts", c(regime).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(*panel.keys, "cutoff_ts").agg(F.min(F.struct(-c("_n"), c("_r").alias("r"))).getField("r").alias(out))
+
+
 def trigger(spec: Mapping[str, float]) -> Column:
     """Any of the named conditions."""
     out = F.lit(False)

@@ -46,14 +46,17 @@ def permutations(decisions: DataFrame, panel: Panel, n: int, scale: float = 15.0
 
 
 def permutation_summary(perms: DataFrame, baseline: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("cum", "sortino", "sharpe")) -> DataFrame:
-    """Distribution of each metric over the shuffles and the share strictly above the baseline."""
+    """Distribution of each metric over the shuffles and the share strictly above the baseline.
+
+    A Sortino ratio without a losing period is null here and stands for infinity: it is above any
+    other, and nothing is above it."""
     base = baseline.select(*by, *[c(m).alias(f"_b_{m}") for m in metrics])
     j = perms.join(base, list(by))
     aggs = [F.count(F.lit(1)).alias("n")]
     for m in metrics:
         aggs += [
             F.avg(m).alias(f"{m}_mean"), F.max(m).alias(f"{m}_max"),
-            F.avg(F.coalesce(c(m) > c(f"_b_{m}"), F.lit(False)).cast("double")).alias(f"{m}_p_value"),
+            F.avg(F.coalesce(c(m) > c(f"_b_{m}"), c(m).isNull() & c(f"_b_{m}").isNotNull() & F.lit(m == "sortino")).cast("double")).alias(f"{m}_p_value"),
         ]
     # a million shuffles are too many values for one percentile() buffer
     long = perms.unpivot(list(by), list(metrics), "_metric", "_x")

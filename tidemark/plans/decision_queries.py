@@ -9,6 +9,8 @@ from tidemark.operators import accounting as acc
 from tidemark.operators import controls as ctl
 from tidemark.operators import decisions as dec
 from tidemark.operators import joins
+from tidemark.operators.regimes import sma_regime
+from tidemark.operators.training import last_retrain, next_retrain
 from tidemark.panel import DAILY, Running
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
@@ -366,21 +368,31 @@ def mean_shift(spark, sf_dir):
     return ctl.mean_shift(s, ["series_id"], ["day_ret", "vol30", "pred"], c("ts") >= F.lit("2001-01-01").cast("date"), top=0)
 
 
+_CUT = "CAST(make_date(CAST(year(ts) AS INTEGER), CASE WHEN month(ts) >= 7 THEN 7 ELSE 1 END, 1) AS DATE)"
+_NEXT_CUT = "CAST(make_date(CAST(year(ts) AS INTEGER) + CASE WHEN month(ts) >= 7 THEN 1 ELSE 0 END, CASE WHEN month(ts) >= 7 THEN 1 ELSE 7 END, 1) AS DATE)"
+
+
 @query(
-    "retrain_triggers", "series_id ts drawdown_fired accuracy_fired move_fired any_fired",
-    f"""WITH {SQL_EQUITY}, q AS (SELECT *, CASE WHEN count(*) OVER {win(8)} >= 8 THEN avg({_HIT}) OVER {win(8)} END AS ra FROM eqd),
-        f AS (SELECT series_id, ts, coalesce(drawdown <= -0.1, false) AS drawdown_fired, coalesce(ra < 0.4, false) AS accuracy_fired, coalesce(abs(asset_ret) > 0.15, false) AS move_fired FROM q)
-        SELECT *, drawdown_fired OR accuracy_fired OR move_fired AS any_fired FROM f""",
+    "retrain_triggers", "series_id ts drawdown_since:8 vol_ratio:7 drawdown_fired accuracy_fired volatility_fired move_fired any_fired",
+    f"""WITH {SQL_EQUITY}, q AS (SELECT *, {_CUT} AS cut, CASE WHEN count(*) OVER {win(8)} >= 8 THEN avg({_HIT}) OVER {win(8)} END AS ra FROM eqd),
+        s AS (SELECT *, equity / max(equity) OVER c - 1 AS drawdown_since, vol30 / nullif(first_value(vol30 IGNORE NULLS) OVER c, 0) AS vol_ratio FROM q
+              WINDOW c AS (PARTITION BY series_id, cut ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        f AS (SELECT series_id, ts, drawdown_since, vol_ratio, coalesce(drawdown_since <= -0.1, false) AS drawdown_fired, coalesce(ra < 0.4, false) AS accuracy_fired,
+                coalesce(vol_ratio > 1.5 OR vol_ratio < 1 / 1.5, false) AS volatility_fired, coalesce(abs(asset_ret) > 0.15, false) AS move_fired FROM s)
+        SELECT *, drawdown_fired OR accuracy_fired OR volatility_fired OR move_fired AS any_fired FROM f""",
 )
 def retrain_triggers(spark, sf_dir):
-    d = acc.equity(t.decisions(spark, sf_dir), DAILY, "strat_ret").withColumn("drawdown_since", c("drawdown"))
-    d = ctl.rolling_quality(d, DAILY, window=8)
+    """Conditions since the last scheduled retrain."""
+    d = acc.equity(t.decisions(spark, sf_dir), DAILY, "strat_ret")
+    d = ctl.rolling_quality(d, DAILY, window=8).withColumn("_cut", last_retrain(c("ts")))
+    d = ctl.since_retrain(d, DAILY, "_cut")
     return d.withColumns(
         {
             "drawdown_fired": ctl.trigger({"drawdown": 0.1}),
             "accuracy_fired": ctl.trigger({"accuracy": 0.4}),
+            "volatility_fired": ctl.trigger({"volatility": 1.5}),
             "move_fired": ctl.trigger({"big_move": 0.15}),
-            "any_fired": ctl.trigger({"drawdown": 0.1, "accuracy": 0.4, "big_move": 0.15}),
+            "any_fired": ctl.trigger({"drawdown": 0.1, "accuracy": 0.4, "volatility": 1.5, "big_move": 0.15}),
         }
     )
 
@@ -397,13 +409,36 @@ def spaced_retrains(spark, sf_dir):
 
 
 @query(
-    "regime_shift_trigger", "series_id ts shift_fired",
-    f"""{D}, o AS (SELECT series_id, ts, regime <> 'MILD' AS oth FROM decisions), p AS (SELECT *, sum(CASE WHEN oth IS DISTINCT FROM po THEN 1 ELSE 0 END) OVER {ORD} AS g FROM (SELECT *, lag(oth) OVER {ORD} AS po FROM o))
-        SELECT series_id, ts, oth AND row_number() OVER (PARTITION BY series_id, g ORDER BY ts) >= 4 AS shift_fired FROM p""",
+    "regime_shift_trigger", "series_id ts trained shift_fired",
+    f"""{D}, rg AS (SELECT series_id, {_NEXT_CUT} AS cut, ts, CASE WHEN sma_short IS NULL OR sma_long IS NULL OR price IS NULL THEN 'MILD'
+          WHEN price > sma_short AND sma_short > sma_long THEN 'BULL' WHEN price > sma_long THEN 'MILD' ELSE 'BEAR' END AS r FROM signals),
+        rn AS (SELECT series_id, cut, r, row_number() OVER (PARTITION BY series_id, cut ORDER BY count(*) DESC, r) AS i FROM rg WHERE date_diff('day', ts, cut) <= 30 GROUP BY 1, 2, 3),
+        o AS (SELECT d.series_id, ts, {_CUT} AS cut, regime FROM decisions d), t AS (SELECT o.*, coalesce(rn.r, 'MILD') AS trained, regime <> coalesce(rn.r, 'MILD') AS oth FROM o LEFT JOIN rn ON rn.series_id = o.series_id AND rn.cut = o.cut AND rn.i = 1),
+        p AS (SELECT *, sum(CASE WHEN oth IS DISTINCT FROM po THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, cut ORDER BY ts) AS g FROM (SELECT *, lag(oth) OVER (PARTITION BY series_id, cut ORDER BY ts) AS po FROM t))
+        SELECT series_id, ts, trained, oth AND row_number() OVER (PARTITION BY series_id, cut, g ORDER BY ts) >= 4 AS shift_fired FROM p""",
 )
 def regime_shift_trigger(spark, sf_dir):
-    d = t.decisions(spark, sf_dir).select("series_id", "ts", "regime").withColumn("trained", F.lit("MILD"))
-    return ctl.regime_shift(d, DAILY, "trained", "regime", 4)
+    """Four decisions in a row, since the last retrain, in another regime than it was trained in."""
+    s = t.signals(spark, sf_dir).withColumn("regime", sma_regime(c("price"), c("sma_short"), c("sma_long")))
+    trained = ctl.trained_regime(s.select("series_id", "ts", "regime"), DAILY, "regime", next_retrain(c("ts")))
+    d = t.decisions(spark, sf_dir).select("series_id", "ts", "regime").withColumn("cutoff_ts", last_retrain(c("ts")))
+    d = d.join(trained, ["series_id", "cutoff_ts"], "left").withColumn("trained", F.coalesce("trained", F.lit("MILD")))
+    return ctl.regime_shift(d, DAILY.by("cutoff_ts"), "trained", "regime", 4)
+
+
+@query(
+    "realised_volatility_scaled_k", "series_id ts realised:8 scaled_k:6",
+    f"""WITH {t.SQL_SIGNALS}, l AS (SELECT series_id, ts, ln(price / lag(price) OVER {ORD}) AS x FROM signals),
+        r AS (SELECT series_id, ts, CASE WHEN count(x) OVER {win(20)} = 20 THEN stddev_pop(x) OVER {win(20)} * sqrt(365.0) END AS realised FROM l)
+        SELECT *, 30.0 * greatest(least(0.7 / greatest(coalesce(realised, 0.7), 0.1), 1.5), 0.5) AS scaled_k FROM r""",
+)
+def realised_volatility_scaled_k(spark, sf_dir):
+    """K by the population deviation of the last 20 log returns."""
+    f = DAILY.halo(t.signals(spark, sf_dir).select("series_id", "ts", "price"), 21)
+    f = f.withColumn("x", F.ln(c("price") / F.lag("price", 1).over(DAILY.window())))
+    w = R.frame(DAILY.window(), 20)
+    f = f.withColumn("realised", F.when(F.count("x").over(w) == 20, F.stddev_pop("x").over(w) * F.sqrt(F.lit(365.0))))
+    return DAILY.owned(f).withColumn("scaled_k", dec.vol_scaled_k(F.lit(30.0), c("realised"), lo=0.5, hi=1.5))
 
 
 # -- accounting --------------------------------------------------------------------------------

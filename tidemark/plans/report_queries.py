@@ -350,10 +350,10 @@ def permutation_metrics(spark, sf_dir):
 
 
 @query(
-    "permutation_p_values", "series_id n cum_mean:5 cum_max:5 cum_p95:5 cum_p_value:7 sharpe_mean:6 sharpe_max:6 sharpe_p95:6 sharpe_p_value:7",
+    "permutation_p_values", "series_id n cum_mean:5 cum_max:5 cum_p95:5 cum_p_value:7 sharpe_mean:6 sharpe_max:6 sharpe_p95:6 sharpe_p_value:7 sortino_p_value:7",
     f"""{_PERM_SQL}, b AS (SELECT series_id, {_SUMM} FROM (SELECT series_id, a * asset_ret + (1 - a) * cash_ret AS r FROM (SELECT *, {cl('pred * k / (1 + exp(-abs(p_up - 0.5) * 15))')} AS a FROM decisions)) GROUP BY 1)
         SELECT pm.series_id, count(*) AS n, avg(pm.cum) AS cum_mean, max(pm.cum) AS cum_max, quantile_cont(pm.cum, 0.95) AS cum_p95, avg(CASE WHEN pm.cum > b.cum THEN 1.0 ELSE 0.0 END) AS cum_p_value,
-          avg(pm.sharpe) AS sharpe_mean, max(pm.sharpe) AS sharpe_max, quantile_cont(pm.sharpe, 0.95) AS sharpe_p95, avg(CASE WHEN pm.sharpe > b.sharpe THEN 1.0 ELSE 0.0 END) AS sharpe_p_value FROM pm JOIN b USING (series_id) GROUP BY 1""",
+          avg(pm.sharpe) AS sharpe_mean, max(pm.sharpe) AS sharpe_max, quantile_cont(pm.sharpe, 0.95) AS sharpe_p95, avg(CASE WHEN pm.sharpe > b.sharpe THEN 1.0 ELSE 0.0 END) AS sharpe_p_value, avg(CASE WHEN b.sortino IS NOT NULL AND (pm.sortino IS NULL OR pm.sortino > b.sortino) THEN 1.0 ELSE 0.0 END) AS sortino_p_value FROM pm JOIN b USING (series_id) GROUP BY 1""",
 )
 def permutation_p_values(spark, sf_dir):
     d = t.decisions(spark, sf_dir)
