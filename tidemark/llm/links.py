@@ -36,6 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(c("a").alias("node"), c("b").alias("component")).union(e.select(c("b").alias("node"), c("b").alias("component")).distinct())
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """``a`` < ``b`` links -> ``node``, ``component``: the smallest neighbour, and that one's smallest neighbour if
+    it has a smaller one.  Nodes with one label are connected; connected nodes may still have two.  One
+    aggregation and one join, for steps that only want to skip what is merged already."""
+    low = links.groupBy(c("b").alias("node")).agg(F.min("a").alias("m"))
+    low = stage(low, "labels")
+    up = low.select(c("node").alias("m"), c("m").alias("mm"))
+    return low.join(up, "m", "left").select("node", F.coalesce("mm", "m").alias("component"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b`` pairs with ``overlap`` and ``total`` (sizes of intersection and union) and ``linked``:
     100 * overlap >= percent * total.  ``sets``: ``node``, ``shingles``."""
@@ -70,7 +80,7 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     nodes = star.select(c("a").alias("node")).union(star.select(c("b").alias("node"))).distinct()
     sets = stage(sets_of(nodes), "sets")
     first = stage(verified(star, sets, percent), "verified")
-    comp = stage(components(first.where("linked")), "components")
+    comp = labels(first.where("linked"))
 
     def mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
         """Rows of buckets with two components or more, with their components."""
@@ -88,15 +98,17 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     star = left.where("near != node").select(*ordered(c("near"), c("node"))).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = stage(verified(star, sets, percent), "verified")
     tested = first.union(second)
-    comp = stage(components(tested.where("linked").select("a", "b")), "components")
+    comp = labels(tested.where("linked"))
     far = tested.select("a", "b", (1 - c("overlap") / c("total")).alias("d")).dropDuplicates(["a", "b"])
     left = left.select("*", *ordered(c("near"), c("node"))).join(far, ["a", "b"], "left").drop("a", "b").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    left = stage(mixed(left, comp), "mixed")
+    left = mixed(left, comp)
+    # a pair is emitted in the first of the buckets its sets share; a set is in one bucket per table
+    left = stage(left.join(left.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     most = F.least("x.common", "y.common")
     near = (
         (c("x.key") == c("y.key")) & (c("x.component") < c("y.component")) & (F.abs(c("x.d") - c("y.d")) <= room)
-        & (100 * most >= percent * (c("x.n") + c("y.n") - most))
+        & (100 * most >= percent * (c("x.n") + c("y.n") - most)) & (c("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys")))
     )
     rest = x.join(y, near).select(*ordered(c("x.node"), c("y.node"))).distinct()
     third = verified(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
