@@ -8,6 +8,8 @@ knows the size of what it reads when it chooses joins.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,13 +20,17 @@ _DONE: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local temporary one only where none is set."""
+    """The checkpoint folder of the session.
+
+    Only a local master without one gets a temporary folder, which goes when the process ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -36,9 +42,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _version(spark: SparkSession, inputs: tuple) -> tuple:
+    """What the input folders hold just now: name, length and time of each entry."""
+    out = []
+    for x in inputs:
+        if not isinstance(x, str):
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            out += sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    return tuple(out)
+
+
 def staged_once(spark: SparkSession, label: str, inputs: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The staged result of ``make`` for these inputs, written at most once per application."""
-    key = (spark.sparkContext.applicationId, label, inputs)
+    """The staged result of ``make`` for these inputs, written at most once per application and version of
+    the input folders."""
+    key = (spark.sparkContext.applicationId, label, inputs, _version(spark, inputs))
     path = _DONE.get(key)
     if path is None:
         path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex[:12]}"
