@@ -183,12 +183,12 @@ PARAGRAPHS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS
     whole AS (SELECT r, max(last) AS last FROM comp JOIN sets USING (id) GROUP BY r HAVING max(last) <> r),
     hit AS (SELECT doc_id, i, r.d AS first_doc, r.i AS first_line, r.d <> last.d AS several FROM own JOIN comp USING (id) JOIN whole USING (r)),
     gone AS (SELECT *, doc_id <> first_doc OR i <> first_line AS bad FROM hit),
-    per AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE several) AS n_repeated, count(*) FILTER (WHERE bad) AS n_removed,
-              string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE NOT coalesce(bad, FALSE)) AS kept FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
-    SELECT d.doc_id, CASE WHEN n_removed > 0 THEN coalesce(kept, '') ELSE d.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed,
-      coalesce((SELECT string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) FROM (SELECT DISTINCT first_doc AS f FROM gone g WHERE g.doc_id = d.doc_id AND several) q), '') AS first_docs
-    FROM documents d LEFT JOIN per USING (doc_id)"""
+    per AS (SELECT doc_id, count(DISTINCT i) FILTER (WHERE several) AS n_repeated, count(*) FILTER (WHERE bad) AS n_removed,
+              coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE bad), '') AS removed FROM gone GROUP BY doc_id),
+    firsts AS (SELECT doc_id, string_agg(CAST(first_doc AS VARCHAR), ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT doc_id, first_doc FROM gone WHERE several) q GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(first_docs, '') AS first_docs
+    FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN firsts USING (doc_id)"""
 )
 def op4_paragraph_dedup(spark, sf_dir):
-    d = paragraphs.drop_repeats(table(spark, sf_dir, "documents"))
-    return d.withColumn("first_docs", F.array_join(c("first_docs").cast("array<string>"), ","))
+    d = paragraphs.marked(table(spark, sf_dir, "documents"))
+    return d.withColumns({x: F.array_join(c(x).cast("array<string>"), ",") for x in ("removed", "first_docs")})
