@@ -43,7 +43,7 @@ from tidemark.stage import stage
 
 c = F.col
 DEPTH = 5
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES = 16 << 20, 64 << 20, 2 << 20
 END = 255
 LN2, LN10 = np.log(2.0), np.log(10.0)
 
@@ -213,7 +213,7 @@ def _blocks(depth: int, buckets: int):
             raw, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_pylist()
             out = np.array([held_out(i) for i in ids], bool)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES):
                 part = raw[offsets[a] : offsets[b]]
                 keys, first = grams(part, offsets[a : b + 1] - offsets[a], depth)
                 trained = np.repeat(~out[a:b], np.diff(first))
@@ -368,7 +368,7 @@ def _scores(depth: int, n_train: int, n_types: int, ends: int):
         rows = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for chunk in docs.column("text").chunks:
             raw, offsets = text_bytes(chunk)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES):
                 part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 own, first = grams(part, at, depth)
                 rows["score"].append(np.add.reduceat(values[find(own)], first[:-1]))
