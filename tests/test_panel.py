@@ -126,3 +126,16 @@ def test_rows_numbered_for_irregular_windows(frame):
     out = by_series(rows.owned(f.withColumn("m", F.avg("x").over(rows.window().rowsBetween(-4, 0)))), ["series_id", "x", "m"])
     want = out.groupby("series_id")["x"].transform(lambda s: s.rolling(5, min_periods=1).mean())
     np.testing.assert_allclose(out["m"], want)
+
+
+def test_expanding_deviation_far_from_zero(spark):
+    """A level a billion times the spread: sums of squares around the first value keep their digits."""
+    x = 1e9 + np.random.default_rng(4).normal(0, 1, 300)
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "ts": DAYS.date, "x": x}))
+    for size in (40, 4096):
+        p = Panel(chunk_rows=size)
+        y = F.col("x") - F.col("_o_x")
+        got = p.running(p.with_origin(df, ["x"]), {"_n": Running(F.col("x"), "count"), "_s": Running(y, "sum"), "_ss": Running(y * y, "sum")})
+        sd = F.sqrt((F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1))
+        got = got.where("_n > 1").orderBy("ts").select(sd.alias("sd")).toPandas().sd
+        np.testing.assert_allclose(got, pd.Series(x).expanding().std()[1:], rtol=1e-6)

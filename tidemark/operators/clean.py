@@ -119,21 +119,23 @@ def clip_rolling_quantiles(df: DataFrame, panel: Panel, cols: Sequence[str], lo=
 def winsorise(df: DataFrame, panel: Panel, cols: Sequence[str], sigma: float = 5.0, n: int = 365, m: int = 30) -> DataFrame:
     """Bound by rolling mean +- sigma deviations; by the expanding ones where the window is thin."""
     run = {}
+    df = panel.with_origin(df, cols)
     for x in cols:
-        run |= {f"_n_{x}": Running(c(x), "count"), f"_s_{x}": Running(c(x), "sum"), f"_ss_{x}": Running(c(x) * c(x), "sum")}
+        y = c(x) - c(f"_o_{x}")
+        run |= {f"_n_{x}": Running(c(x), "count"), f"_s_{x}": Running(y, "sum"), f"_ss_{x}": Running(y * y, "sum")}
     df = panel.running(df, run)
     f = panel.halo(df, n)
     w = panel.window()
     bounds = {}
     for x in cols:
         k, s, ss = c(f"_n_{x}"), c(f"_s_{x}"), c(f"_ss_{x}")
-        e_mean = F.when(k >= m, s / k)
+        e_mean = F.when(k >= m, c(f"_o_{x}") + s / k)
         e_std = F.when((k >= m) & (k > 1), F.sqrt(F.greatest(ss - s * s / k, F.lit(0.0)) / F.greatest(k - 1, F.lit(1))))
         bounds[f"_mu_{x}"] = F.coalesce(R.mean(x, w, n, m), e_mean)
         bounds[f"_sd_{x}"] = F.coalesce(R.std(x, w, n, m), e_std)
     f = f.withColumns(bounds)
     f = f.withColumns({x: clip(x, c(f"_mu_{x}") - sigma * c(f"_sd_{x}"), c(f"_mu_{x}") + sigma * c(f"_sd_{x}")) for x in cols})
-    return panel.owned(f).drop(*bounds, *run)
+    return panel.owned(f).drop(*bounds, *run, *[f"_o_{x}" for x in cols])
 
 
 def availability(df: DataFrame, starts: Mapping[str, tuple[str, str]]) -> DataFrame:

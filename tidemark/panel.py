@@ -80,6 +80,13 @@ class Panel:
 
     # -- unbounded look-back -----------------------------------------------------------------
 
+    def with_origin(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        """Adds ``_o_x``, the first known value of each series, for sums of squares of ``x - _o_x``: they keep
+        their digits where the level of a series is far larger than its spread."""
+        first = [F.min_by(x, F.when(F.col(x).isNotNull(), F.col(self.ts))).cast("double").alias(f"_o_{x}") for x in cols]
+        return df.join(df.groupBy(*self.keys).agg(*first), list(self.keys))
+
+
     def running(
         self,
         df: DataFrame,

@@ -322,18 +322,16 @@ def history_percentile(spark, sf_dir):
 
 
 @query(
-    "expanding_stats", "series_id ts expanding_mean:8 expanding_std:3",
+    "expanding_stats", "series_id ts expanding_mean:8 expanding_std:4",
     f"WITH {t.SQL_PANEL} SELECT series_id, ts, CASE WHEN count(close) OVER {ORD} >= 30 THEN ln(avg(close) OVER {ORD}) END AS expanding_mean, CASE WHEN count(close) OVER {ORD} >= 30 THEN stddev_samp(close) OVER {ORD} END AS expanding_std FROM panel",
 )
 def expanding_stats(spark, sf_dir):
-    x = c("close")
-    df = DAILY.running(
-        t.panel(spark, sf_dir).select("series_id", "ts", "close"),
-        {"_n": Running(x, "count"), "_s": Running(x, "sum"), "_ss": Running(x * x, "sum")},
-    )
+    p = DAILY.with_origin(t.panel(spark, sf_dir).select("series_id", "ts", "close"), ["close"])
+    y = c("close") - c("_o_close")
+    df = DAILY.running(p, {"_n": Running(c("close"), "count"), "_s": Running(y, "sum"), "_ss": Running(y * y, "sum")})
     ok = c("_n") >= 30
-    var = (c("_ss") - c("_s") * c("_s") / c("_n")) / F.greatest(c("_n") - 1, F.lit(1))
-    return df.withColumns({"expanding_mean": F.when(ok, F.ln(c("_s") / c("_n"))), "expanding_std": F.when(ok, F.sqrt(var))})
+    var = F.greatest(c("_ss") - c("_s") * c("_s") / c("_n"), F.lit(0.0)) / F.greatest(c("_n") - 1, F.lit(1))
+    return df.withColumns({"expanding_mean": F.when(ok, F.ln(c("_o_close") + c("_s") / c("_n"))), "expanding_std": F.when(ok, F.sqrt(var))})
 
 
 # -- regimes -----------------------------------------------------------------------------------

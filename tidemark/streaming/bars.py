@@ -90,21 +90,27 @@ def new_features(stored: DataFrame, fresh: DataFrame, panel: Panel, names: Seque
 
 
 def feature_batch(bars_path: str, features_path: str, panel: Panel, names: Sequence[str]):
-    """foreachBatch writer: append the features of new bars (bars already known are ignored) and
-    then the bars themselves."""
+    """foreachBatch writer: add the features of new bars (bars already known are ignored) and then the bars
+    themselves.
+
+    Both go to a folder of the batch that a replay overwrites, and a batch never reads its own bars, so
+    running it again after a failure at any point gives the same tables.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = [*panel.keys, panel.ts]
         old = _read_or_none(spark, bars_path)
+        if old is not None and "batch" in old.columns:
+            old = old.where(c("batch") != batch_id).drop("batch")
         fresh = stage(batch, "fresh")
         if old is not None:
             first = fresh.agg(F.min(panel.ts)).first()[0]
             seen = old.filter(c(panel.ts) >= F.lit(first)).select(*key)
             fresh = stage(fresh.join(seen, key, "left_anti"), "fresh")
         history = fresh.limit(0) if old is None else old
-        new_features(history, fresh, panel, names).write.mode("append").parquet(features_path)
-        fresh.write.mode("append").parquet(bars_path)
+        new_features(history, fresh, panel, names).write.mode("overwrite").parquet(f"{features_path}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{bars_path}/batch={batch_id}")
 
     return write
 
