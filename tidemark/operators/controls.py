@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators.accounting import equity
 from tidemark.operators.quantiles import exact_quantiles
@@ -133,43 +130,42 @@ def mean_shift(df: DataFrame, by: Sequence[str], features: Sequence[str], is_cur
 def path_controls(df: DataFrame, panel: Panel, raw: str = "alloc", factor: str = "conf", derisk: str = "derisk") -> DataFrame:
     """Controls whose input is the equity they have already changed.
 
-    Decision i sees the periods closed by i - 2.  The state is sequential within one
-    (series, scenario), so that is the unit of work; groups run in parallel and hold one log each.
-    ``derisk`` is a column with none / plain48 / confgate.
+    Decision i sees the periods closed by i - 2.  Halving on poor accuracy depends on what is known
+    anyway, so windows give it.  Then every decision has just two possible returns, with the switch off
+    and on, and only which one it takes depends on the path: a fold over these pairs, oldest first,
+    that carries growth, peak and the two periods that are still open.  ``derisk`` is a column with
+    none / plain48 / confgate.
     """
-    schema = T.StructType(
-        df.schema.fields
-        + [T.StructField("controlled_alloc", T.DoubleType()), T.StructField("controlled_ret", T.DoubleType()),
-           T.StructField("kill_fired", T.BooleanType()), T.StructField("derisk_fired", T.BooleanType())]
+    # a period without a return is no hit and earns nothing
+    filled = df.withColumns({"_conf": c("conf"), "_ret": c("asset_ret")}).withColumns({"conf": c(factor), "asset_ret": F.coalesce("asset_ret", F.lit(0.0))})
+    q = rolling_quality(filled, panel, lag=2)
+    gate = (c(derisk) == "plain48") | ((c(derisk) == "confgate") & (c("rolling_conf") > CONF_HIGH))
+    cut = F.coalesce((c("rolling_acc") < ACC_LOW) & gate, F.lit(False))
+    part = F.when(cut, F.lit(ACC_MULT)).otherwise(F.lit(1.0))
+    q = q.withColumns({"derisk_fired": cut, "_off": c(raw) * part, "_on": F.least(c(raw), F.lit(KILL_FLOOR)) * part})
+    q = q.withColumns({"conf": c("_conf"), "asset_ret": c("_ret")}).drop("_conf", "_ret", *[x for x in q.columns if x not in df.columns and x not in ("derisk_fired", "_off", "_on")])
+    earned = lambda a: F.coalesce(c(a) * c("asset_ret") + (1 - c(a)) * c("cash_ret"), F.lit(0.0))
+    q = q.withColumns({"_roff": earned("_off"), "_ron": earned("_on")})
+    logs = q.groupBy(*panel.keys).agg(F.sort_array(F.collect_list(F.struct(c(panel.ts).alias("t"), c("_roff").alias("off"), c("_ron").alias("on")))).alias("_log"))
+    start = F.struct(
+        F.lit(1.0).alias("growth"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("open2"), F.lit(0.0).alias("open1"), F.lit(0).alias("n"), F.lit("").alias("fired"),
     )
-    names = [f.name for f in schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(panel.ts, kind="stable")
-        num = lambda x: pdf[x].to_numpy(dtype=float, na_value=np.nan)
-        a0, fwd, cash, pred, fac = num(raw), num("asset_ret"), num("cash_ret"), num("pred"), num(factor)
-        mode = pdf[derisk].iloc[0]
-        good = ((pred > 0) & (fwd > 0)) | ((pred < 0) & (fwd < 0))
-        n = len(pdf)
-        alloc, rets = np.empty(n), np.empty(n)
-        kill, cut = np.zeros(n, bool), np.zeros(n, bool)
-        growth, peak = 1.0, 0.0  # of the periods closed by i - 2
-        for i in range(n):
-            if i >= 2:
-                growth *= 1 + rets[i - 2]
-                peak = max(peak, growth)
-            a = a0[i]
-            if i >= 3 and growth / peak - 1 <= KILL_DD:
-                a, kill[i] = min(a, KILL_FLOOR), True
-            if mode != "none" and i - 1 >= ACC_WINDOW:
-                w = slice(i - 1 - ACC_WINDOW, i - 1)
-                if good[w].mean() < ACC_LOW and (mode == "plain48" or fac[w].mean() > CONF_HIGH):
-                    a, cut[i] = a * ACC_MULT, True
-            alloc[i] = a
-            rets[i] = 0.0 if np.isnan(fwd[i]) else a * fwd[i] + (1 - a) * cash[i]
-        return pdf.assign(controlled_alloc=alloc, controlled_ret=rets, kill_fired=kill, derisk_fired=cut)[names]
-
-    return df.groupBy(*panel.keys).applyInPandas(run, schema)
+
+    def step(s: Column, x: Column) -> Column:
+        growth = s["growth"] * (1 + s["open2"])
+        peak = F.when(s["n"] >= 2, F.greatest(s["peak"], growth)).otherwise(s["peak"])
+        fires = (s["n"] >= 3) & (growth / peak - 1 <= KILL_DD)
+        return F.struct(
+            growth.alias("growth"), peak.alias("peak"), s["open1"].alias("open2"), F.when(fires, x["on"]).otherwise(x["off"]).alias("open1"),
+            (s["n"] + 1).alias("n"), F.concat(s["fired"], F.when(fires, "1").otherwise("0")).alias("fired"),
+        )
+
+    logs = logs.withColumn("_fired", F.aggregate("_log", start, step)["fired"])
+    fired = logs.select(*panel.keys, F.explode(F.transform("_log", lambda x, i: F.struct(x["t"].alias(panel.ts), (F.substring(c("_fired"), i + 1, F.lit(1)) == "1").alias("kill_fired")))).alias("_x"))
+    q = q.join(fired.select(*panel.keys, "_x.*"), [*panel.keys, panel.ts])
+    pick = lambda on, off: F.when(c("kill_fired"), c(on)).otherwise(c(off))
+    q = q.withColumns({"controlled_alloc": pick("_on", "_off"), "controlled_ret": pick("_ron", "_roff")})
+    return q.select(*df.columns, "controlled_alloc", "controlled_ret", "kill_fired", "derisk_fired")
 
 
 def one_pass_controls(df: DataFrame, panel: Panel, kill: bool = True, derisk: bool = True) -> DataFrame:
