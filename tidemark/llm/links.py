@@ -47,13 +47,18 @@ def labels(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b`` pairs with ``overlap`` and ``total`` (sizes of intersection and union) and ``linked``:
-    100 * overlap >= percent * total.  ``sets``: ``node``, ``shingles``."""
+    """``a``, ``b`` pairs with ``overlap`` and ``total`` (sizes of intersection and union), ``gap_a``, ``gap_b`` (which of
+    64 hash cells hold what one set has and the other lacks) and ``linked``: 100 * overlap >= percent * total.
+    ``sets``: ``node``, ``shingles``."""
+    cells = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda bits, s: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)).cast("int"))))
     one = sets.select(c("node").alias("a"), c("shingles").alias("_sa"))
     two = sets.select(c("node").alias("b"), c("shingles").alias("_sb"))
     j = pairs.select("a", "b").join(one, "a").join(two, "b")
-    j = j.select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("overlap"), (F.size("_sa") + F.size("_sb")).alias("_n"))
-    return j.select("a", "b", "overlap", (c("_n") - c("overlap")).alias("total")).withColumn("linked", 100 * c("overlap").cast("long") >= percent * c("total").cast("long"))
+    j = j.select(
+        "a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("overlap"), (F.size("_sa") + F.size("_sb")).alias("_n"),
+        cells(F.array_except("_sa", "_sb")).alias("gap_a"), cells(F.array_except("_sb", "_sa")).alias("gap_b"),
+    )
+    return j.select("a", "b", "overlap", (c("_n") - c("overlap")).alias("total"), "gap_a", "gap_b").withColumn("linked", 100 * c("overlap").cast("long") >= percent * c("total").cast("long"))
 
 
 def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, known: DataFrame | None = None) -> DataFrame:
@@ -68,11 +73,11 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
        are counted: they are in no intersection, so a set with too many of them has no link left.  The
        others are compared with the set of their bucket that has the smallest share of such shingles,
        the likeliest original of a family of copies, and merged again;
-    3. in buckets that are still mixed every pair of different components is compared, unless a bound
-       rules it out: the private shingles again, or Jaccard distance being a metric, so that
-       ``|d(l,x) - d(l,y)| <= d(x,y)`` for the set l of step 2.
+    3. in buckets that are still mixed every pair of different components is compared, unless it cannot be
+       linked.  With o the set of step 2, which both were compared with, x and y share at most what o
+       has less what x lacks less what y lacks (more only if these gaps can overlap, which hash cells
+       tell), and outside of o at most what neither has for itself.
     """
-    room = (100 - percent) / 100 + 1e-9
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_top")).where("lead != _top").drop("_top")
     shared = stage(keys.join(lead, "key"), "buckets")  # rows of buckets with two sets or more
@@ -99,16 +104,25 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     second = stage(verified(star, sets, percent), "verified")
     tested = first.union(second)
     comp = labels(tested.where("linked"))
-    far = tested.select("a", "b", (1 - c("overlap") / c("total")).alias("d")).dropDuplicates(["a", "b"])
-    left = left.select("*", *ordered(c("near"), c("node"))).join(far, ["a", "b"], "left").drop("a", "b").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    seen = tested.select("a", "b", "overlap", "total", "gap_a", "gap_b").dropDuplicates(["a", "b"])
+    # the set all others were compared with has no open pair in its bucket
+    left = left.where("near != node").select("*", *ordered(c("near"), c("node"))).join(seen, ["a", "b"])
+    left = left.withColumns(
+        {
+            "original": c("total") + c("overlap") - c("n"), "lacks": c("total") - c("n"), "gap": F.when(c("near") == c("a"), c("gap_a")).otherwise(c("gap_b")),
+            "extra": c("common") - c("overlap"),
+        }
+    ).select("key", "node", "n", "common", "original", "lacks", "gap", "extra")
     left = mixed(left, comp)
     # a pair is emitted in the first of the buckets its sets share; a set is in one bucket per table
     left = stage(left.join(left.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    most = F.least("x.common", "y.common")
+    both = F.when(c("x.gap").bitwiseAND(c("y.gap")) == 0, F.lit(0)).otherwise(F.least("x.lacks", "y.lacks"))
+    inside = c("x.original") - c("x.lacks") - c("y.lacks") + both
+    most = F.least(inside + F.least("x.extra", "y.extra"), "x.common", "y.common")
     near = (
-        (c("x.key") == c("y.key")) & (c("x.component") < c("y.component")) & (F.abs(c("x.d") - c("y.d")) <= room)
-        & (100 * most >= percent * (c("x.n") + c("y.n") - most)) & (c("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys")))
+        (c("x.key") == c("y.key")) & (c("x.component") < c("y.component")) & (100 * most >= percent * (c("x.n") + c("y.n") - most))
+        & (c("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys")))
     )
     rest = x.join(y, near).select(*ordered(c("x.node"), c("y.node"))).distinct()
     third = verified(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
