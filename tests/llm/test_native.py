@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from oracle import DATA, compare, connect
 from tidemark.llm import lines, mixing, quality, queries, urls
 
@@ -62,6 +63,19 @@ def test_site_lines(spark, no_docs):
     assert lines.drop_boilerplate(no_docs).count() == 0
 
 
+def test_copies_are_not_boilerplate_of_themselves(spark, no_docs):
+    """A third of a source are copies of one text: it stays once, and the menu of the other pages still goes."""
+    copy = "Menu\n" + "\n".join(" ".join(f"c{i}_{j}" for j in range(12)) for i in range(6))
+    rows = [(i, copy if i % 2 else f"  {copy.upper()}", "en", "a", 1) for i in range(30)]
+    rows += [(100 + i, "Menu\n" + " ".join(f"u{i}_{j}" for j in range(30)), "en", "a", 1) for i in range(60)]
+    d = spark.createDataFrame(rows, no_docs.schema)
+    cleaned = corpus_pipeline.line_dedup(spark, d, SF)
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert got[1] == copy.removeprefix("Menu\n") and got[100] == rows[30][1].removeprefix("Menu\n") and len(got) == 90
+    left = [r.doc_id for r in corpus_pipeline.near_dedup(spark, cleaned, SF).collect()]
+    assert sorted(left) == [0, *range(100, 160)]
+
+
 def fill(sizes, weights, share=1.5, most=2.0):
     """Targets by handing the excess on until none is above."""
     total, target, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
