@@ -42,6 +42,19 @@ def test_same_text_on_every_page_goes(spark):
     assert styletree.extract(d.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_article(spark):
+    """A host of nothing but copies, and one where a third of the pages are copies with a style node of their own."""
+    same = "<article><h1>T</h1><p>the one story</p><blockquote class=%s>a word of it</blockquote></article>"
+    page = lambda i: f"<article><div class=top>Welcome</div><p>story {i} of the day</p></article>"
+    rows = [(i, f"http://all.example/?s={i}", same % "x") for i in range(12)] + [(50 + i, f"http://third.example/?s={i}", same % ("print" if i % 2 else "x")) for i in range(30)]
+    rows += [(100 + i, f"http://third.example/{i}", page(i)) for i in range(60)] + [(100, "http://third.example/0", page(0))] * 20
+    got = defaultdict(set)
+    for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got[r.page_id].add(r.text)
+    want = {i: {"T\nthe one story\na word of it"} for i in [*range(12), *range(50, 80)]} | {100 + i: {f"story {i} of the day"} for i in range(60)}
+    assert got == want
+
+
 def test_importance_is_the_entropy_formula(spark):
     html = ["<div><p>a</p></div>", "<div><p>a</p><h2>b</h2></div>", "<div><p>a</p><p>c</p></div>", "<div><p>d</p></div>"]
     d = spark.createDataFrame([("http://x/", h) for h in html], "url string, html string")

@@ -11,8 +11,11 @@ Elements whose declared role is no content (navigation, headers, forms, ...) hav
 start, which also serves hosts with too few pages for entropies; where a page has an article or main
 element, what stands outside of it has importance 0 as well.
 
-Rows: a null or empty html gives an empty text; a null url is the host ''.  Repeated rows count as
-pages.  Broken markup is read as far as it goes: unclosed elements end with the page.
+Pages of a host whose blocks have the same texts (repeated rows, session ids, print views) are copies:
+together they weigh as one page in both entropies, and each gets the verdicts of that tree.  Only the
+weights of copies are joined to the pages, so what is shuffled does not grow by them.
+
+Rows: a null or empty html gives an empty text; a null url is the host ''.  Broken markup is read as far as it goes: unclosed elements end with the page.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.urls import host_of
+from tidemark.stage import stage
 
 c = F.col
 THRESHOLD, LEAST_PAGES, GAMMA, SALTS = 0.25, 10, 0.9, 16
@@ -171,17 +175,28 @@ class Page:
                 return
 
 
+def _copy_key(host: str, page: Page) -> int:
+    return _number(host, [text for _, text in page.blocks])
+
+
+def _copy_keys(batches):
+    for batch in batches:
+        keys = [_copy_key(host, Page(html)) for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["copy"])
+
+
 def _features(batches):
     for batch in batches:
-        nodes, texts, styles = [], [], []
-        for (html,) in zip(batch.column(1).to_pylist()):
+        copies, nodes, styles = [], [], []
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html)
+            copies.append(_copy_key(host, page))
             seen = {(node, _number(text)) for node, text in page.blocks}
             nodes.append([{"node": n, "feature": f} for n, f in seen])
             styles.append([{"node": n, "style": _number(sorted(s)), "leaf": not s} for n, s in page.children.items()])
         pair = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64())]))
         other = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("leaf", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pair), pa.array(styles, other)], names=["host", "features", "styles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.int64()), pa.array(nodes, pair), pa.array(styles, other)], names=["host", "copy", "features", "styles"])
 
 
 def _texts(batches):
@@ -197,20 +212,25 @@ def _texts(batches):
 
 
 def importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """``host``, ``node``, ``pages`` (that have the node), ``presentation``, ``content``, ``importance``."""
-    schema = "host string, features array<struct<node long, feature long>>, styles array<struct<node long, style long, leaf boolean>>"
-    d = pages.select(host_of(c("url")).alias("host"), c("html").cast("string").alias("html")).mapInArrow(_features, schema)
+    """``host``, ``node``, ``pages`` (that have the node, copies together one), ``presentation``, ``content``, ``importance``."""
+    schema = "host string, copy long, features array<struct<node long, feature long>>, styles array<struct<node long, style long, leaf boolean>>"
+    d = pages.select(host_of(c("url")).alias("host"), c("html").cast("string").alias("html"))
+    # written, so that its size is known before the join
+    several = stage(d.mapInArrow(_copy_keys, "copy long").groupBy("copy").agg(F.count("*").alias("n_copies")).where("n_copies > 1"), "page-copies")
+    d = d.mapInArrow(_features, schema).join(several, "copy", "left")
     # one exploded form for both kinds of evidence, so each page is read once
     kinds = F.concat(
         F.transform("features", lambda x: F.struct(x["node"].alias("node"), x["feature"].alias("what"), F.lit(True).alias("text"), F.lit(False).alias("leaf"))),
         F.transform("styles", lambda x: F.struct(x["node"].alias("node"), x["style"].alias("what"), F.lit(False).alias("text"), x["leaf"].alias("leaf"))),
     )
-    n = d.select("host", F.explode(kinds).alias("e")).groupBy("host", "e.node", "e.what", "e.text", "e.leaf").agg(F.count("*").alias("n"))
+    n = d.select("host", (1.0 / F.coalesce("n_copies", F.lit(1))).alias("w"), F.explode(kinds).alias("e")).groupBy("host", "e.node", "e.what", "e.text", "e.leaf")
+    # rounded, so that the shares of copies add up to whole pages in any order
+    n = n.agg(F.round(F.sum("w"), 6).alias("n")).where("n > 0")
     n = n.withColumn("nlog", c("n") * F.ln("n"))
     style = ~c("text")
-    total = F.sum(F.when(style, c("n")))
+    total = F.round(F.sum(F.when(style, c("n"))), 5)
     g = n.groupBy("host", "node").agg(
-        total.alias("pages"), F.sum(F.when(style, c("nlog"))).alias("_s"), F.count_if(style & ~c("leaf")).alias("_l"), F.avg(F.when(c("text"), F.ln("n"))).alias("_f"),
+        total.alias("pages"), F.sum(F.when(style, c("nlog"))).alias("_s"), F.count_if(style & ~c("leaf")).alias("_l"), F.avg(F.when(c("text"), F.greatest(F.ln("n"), F.lit(0.0)))).alias("_f"),
     )
     base = F.ln("pages")
     # sum of -p ln p over styles is ln m - sum(n ln n) / m
