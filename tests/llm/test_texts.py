@@ -32,6 +32,24 @@ def test_page(html, want):
     assert "\n".join(t for _, t in styletree.Page(html).blocks) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        *[(f"<div {x}><nav>m</nav><article><h1>T</h1><p>a</p></article></div><div class=footer>f</div>", "T\na") for x in ("class=no-sidebar", "id=page class='site has-sidebar'", "class=header-fixed", "class='share-enabled'", "class=hasSidebar", "class=related-on")],
+        ("<div class=search-page><div id=comments>c</div><main><p>a</p></main></div>", "a"),
+        ("<div class='post with-comments'><p>story</p><p>more</p></div><div class='nav menu'>m</div>", "story\nmore"),
+        ("<div class=header-fixed><p>a long story of the day</p></div><p>end</p>", "a long story of the day\nend"),
+        # what is no wrapper stays out, whatever its size
+        ("<article><p>story</p><div id=comments>more comments than there is story</div></article>", "story"),
+        ("<div class=post>the story</div><div class=related><article>one</article><article>two</article></div>", "the story"),
+        ("<article>story</article><div class='related posts'><article>a long teaser of another story</article></div>", "story"),
+        ("<div class=post><p>the story of the day</p></div><div class=sidebar>links</div>", "the story of the day"),
+    ],
+)
+def test_wrappers_named_after_parts_of_a_page(html, want):
+    assert "\n".join(t for _, t in styletree.Page(html).blocks) == want
+
+
 def test_same_text_on_every_page_goes(spark):
     page = lambda i: f"<div class=top><p>Welcome to our site</p></div><div class=body><p>story {i} of the day</p><p>more on {i * 7}</p></div>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(30)] + [(100, "http://small.example/", page(1)), (101, None, None), (102, "http://h.example/x", "")]

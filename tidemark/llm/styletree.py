@@ -9,7 +9,9 @@ branches below ``threshold`` go from each page of the host.
 
 Elements whose declared role is no content (navigation, headers, forms, ...) have importance 0 from the
 start, which also serves hosts with too few pages for entropies; where a page has an article or main
-element, what stands outside of it has importance 0 as well.
+element, what stands outside of it has importance 0 as well.  A class or id declares it only where the
+element does not hold the page's main, most of its text, or an article with more text than stands free
+of such elements: wrappers of a page are often named after the parts it has.
 
 Pages of a host whose blocks have the same texts (repeated rows, session ids, print views) are copies:
 together they weigh as one page in both entropies, and each gets the verdicts of that tree.  Only the
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +49,10 @@ NO_CONTENT_WORDS = set(
     "newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside header masthead topbar footer copyright share sharing social "
     "related recommended recommendations comment comments commentlist respond reply replies disqus form search searchbox widget widgets toolbar skip hidden".split()
 )
+#: Those of them that name texts by others: most of a page's text does not make these its content.
+OTHERS_WORDS = set("cookie cookies consent gdpr related recommended recommendations comment comments commentlist respond reply replies disqus".split())
+#: What follows one of these in a class says what a page has or lacks.
+STATE_WORDS = set("no not has have with without".split())
 ARTICLE = {"article", "main"}
 #: Opening one of these ends an open element of the given names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,20 +68,23 @@ def _number(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _attributes(tag: str, text: str) -> tuple[str, bool]:
-    """The part of an element's style that class and id give, and whether they rule out content."""
-    style, out = [], False
+def _attributes(tag: str, text: str) -> tuple[str, bool, set[str]]:
+    """The part of an element's style that class and id give, whether role or own words rule out content, and
+    the words of class and id that name no content."""
+    style, out, named = [], False, set()
     for name, *values in _ATTRIBUTE.findall(text):
         value = next((v for v in values if v), "")
-        words = _WORD.findall(_CASE.sub(r"\1 \2", value).lower())
+        value = _CASE.sub(r"\1-\2", value).lower()
+        words = _WORD.findall(value)
         if name.lower() == "role":
             out |= any(w in NO_CONTENT_ROLES for w in words)
         elif tag not in ("html", "body") and tag not in ARTICLE:
-            out |= any(w in NO_CONTENT_WORDS for w in words)
+            if not NO_CONTENT_WORDS.isdisjoint(words):
+                named |= {w for token in value.split() for w in takewhile(lambda x: x not in STATE_WORDS, _WORD.findall(token))} & NO_CONTENT_WORDS
         elif tag == "article":
             out |= any(w in ("comment", "comments", "reply", "ad", "advert", "advertisement", "related", "recommended") for w in words)
         style += words
-    return " ".join(sorted(style)), out
+    return " ".join(sorted(style)), out, named
 
 
 class Page:
@@ -84,15 +94,46 @@ class Page:
     def __init__(self, html: str | None):
         self.blocks: list[tuple[int, str]] = []
         self.children: dict[int, set[str]] = {}
-        self._inside: list[bool] = []
+        # (style node, text, inside an article, named elements around it) and (style node, child style, the same)
+        self._found: list[tuple[int, str, bool, tuple[int, ...]]] = []
+        self._styles: list[tuple[int, str | None, tuple[int, ...]]] = []
+        # of each element whose class or id names no content: whether the words name texts by others; those with a main
+        self._named: list[bool] = []
+        self._mains: set[int] = set()
         self._parts: list[str] = []
-        # (name, style node, ruled out, inside an article)
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # (name, style node, ruled out, inside an article, named elements from the top down to it)
+        self._stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
         self._open: dict[str, int] = {}
         if html:
             self._read(html)
-        if any(self._inside):
-            self.blocks = [b for b, inside in zip(self.blocks, self._inside) if inside]
+        self._judge()
+
+    def _judge(self) -> None:
+        """Blocks and children that no named element rules out; of the blocks those inside an article, if any."""
+        gone = set()
+        if self._named:
+            size, held, articles = 0, [0] * len(self._named), [0] * len(self._named)
+            free = {False: 0, True: 0}
+            for _node, text, inside, named in self._found:
+                size += len(text)
+                for i in named:
+                    held[i] += len(text)
+                    articles[i] += len(text) * inside
+                if not named:
+                    free[inside] += len(text)
+            clear = free[True] or free[False]
+            for i, others in enumerate(self._named):
+                most = not others and (2 * held[i] > size or articles[i] > clear)
+                if not (most or i in self._mains or (clear == 0 and articles[i])):
+                    gone.add(i)
+        found = [x for x in self._found if gone.isdisjoint(x[3])]
+        inside = any(x[2] for x in found)
+        self.blocks = [(node, text) for node, text, within, _ in found if within or not inside]
+        for node, style, named in self._styles:
+            if gone.isdisjoint(named):
+                own = self.children.setdefault(node, set())
+                if style is not None:
+                    own.add(style)
 
     def _read(self, html: str) -> None:
         at = 0
@@ -119,22 +160,21 @@ class Page:
 
     def _flush(self) -> None:
         if self._parts:
-            _name, node, out, inside = self._stack[-1]
+            _name, node, out, inside, named = self._stack[-1]
             if not out:
                 text = " ".join(entities.unescape("".join(self._parts)).split())
                 if text:
-                    self.blocks.append((node, text))
-                    self._inside.append(inside)
-                    self.children.setdefault(node, set())
+                    self._found.append((node, text, inside, named))
+                    self._styles.append((node, None, named))
             self._parts = []
 
     def _start(self, name: str, rest: str) -> None:
         if name == "br" or name == "wbr":
             self._parts.append(" " if name == "br" else "")
             return
-        style, out = _attributes(name, rest) if rest else ("", False)
+        style, out, words = _attributes(name, rest) if rest else ("", False, ())
         out |= name in NO_CONTENT
-        if name in INLINE and not out:
+        if name in INLINE and not out and not words:
             return
         self._flush()
         if name in VOID:
@@ -143,11 +183,16 @@ class Page:
             self._end_any(ENDS[name], HOLDS[name])
         if self._open.get("p"):  # a block ends an open paragraph
             self._end_any({"p"}, {"article", "main", "body", "div", "section", "td", "th", "li", "blockquote", "button"})
-        _n, node, above, inside = self._stack[-1]
+        _n, node, above, inside, named = self._stack[-1]
+        if name == "main" and not above and not out:
+            self._mains.update(named)
+        if words and not above and not out:
+            named += (len(self._named),)
+            self._named.append(not OTHERS_WORDS.isdisjoint(words))
         if not above and not out:
-            self.children.setdefault(node, set()).add(f"{name}.{style}")
+            self._styles.append((node, f"{name}.{style}", named))
         node = 0 if above or out else _number(node, name, style)
-        self._stack.append((name, node, above or out, inside or name in ARTICLE))
+        self._stack.append((name, node, above or out, inside or name in ARTICLE, named))
         self._open[name] = self._open.get(name, 0) + 1
 
     def _pop(self) -> str:
