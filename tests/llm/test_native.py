@@ -124,6 +124,18 @@ def test_url_rules(spark):
     assert got[6].host == "d.net" and got[6].verdict == "allow" and got[8].verdict == "allow"
 
 
+@pytest.mark.parametrize("n", [3, 20, 1000])
+def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, n):
+    bad = "http://b.example.org/es/1"
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    rows = [(0, bad, None), *[(1 + i, f"http://l{i}.net/", link("b.example.org")) for i in range(n)]]
+    # one link of hundred of the same weight goes there
+    rows += [(5000, "http://large.net/", link("b.example.org") + "".join(link(f"g{i}.net") for i in range(100)))]
+    rows += [(6000 + i, f"http://h{i}.net/", "".join(link(f"g{j}.net") for j in range(100))) for i in range(n)]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[1 + i] for i in range(n)} == {"block"} and got[5000] == "allow" and {got[6000 + i] for i in range(n)} == {"allow"}
+
+
 def test_propagation_equals_plain_loops(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "e2")]
     seeds = {"a": 1.0, "d": 1.0}

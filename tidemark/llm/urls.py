@@ -3,7 +3,9 @@
 A url that a rule fits gets the longest rule's verdict.  For the others their host decides: trust starts
 at hosts whose pages rules mostly allow and flows along links (personalised PageRank); distrust starts
 at hosts whose pages rules mostly block and flows against them, to whoever links there.  A host is
-blocked where distrust is above ``least`` and above its trust; a host that neither reaches is allowed.
+blocked where distrust is above its trust and at least ``least``, or at least ``least`` of what its links
+would bring if all of them led to blocked hosts: a blocked host's distrust is divided among those that
+link to it, so the mass itself says little about a host.  A host that neither reaches is allowed.
 
 The graph is one row per pair of hosts, counted with a map-side part, so a host with a third of all
 pages is at most one edge per host it names.  Each round joins scores to edges and sums them per host;
@@ -77,7 +79,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float)
 
 
 def host_scores(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, share: float = SHARE) -> DataFrame:
-    """``host``, ``trust``, ``distrust`` of every host a seed reaches; ``judged`` has ``host`` and ``allowed``
+    """``host``, ``trust``, ``distrust`` and ``reach`` (distrust in one step if all hosts it links to were blocked) of every
+    host a seed reaches; ``judged`` has ``host`` and ``allowed``
     (null where no rule fits) per page."""
     n = judged.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if("allowed").alias("good"), F.count_if(~c("allowed")).alias("bad"))
     n = stage(n, "hosts")
@@ -86,7 +89,10 @@ def host_scores(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, dampi
     back = edges.select(c("dst").alias("src"), c("src").alias("dst"))
     distrust = propagated(back, seed("bad", "good"), rounds, damping)
     both = trust.select("host", c("score").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "score"))
-    return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    both = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    linkers = edges.groupBy("dst").agg(F.count("*").alias("n"))
+    reach = edges.join(linkers, "dst").groupBy(c("src").alias("host")).agg(F.sum(damping * (1 - damping) / c("n")).alias("reach"))
+    return both.join(reach, "host", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, least: float = LEAST, rounds: int = ROUNDS, damping: float = DAMPING, share: float = SHARE) -> DataFrame:
@@ -96,6 +102,7 @@ def filter_urls(pages: DataFrame, rules=RULES, least: float = LEAST, rounds: int
     edges = stage(host_edges(pages), "host-edges")
     scores = stage(host_scores(d, edges, rounds, damping, share), "host-scores")
     out = d.join(scores, "host", "left")
-    blocked = F.coalesce((c("distrust") >= least) & (c("distrust") > c("trust")), F.lit(False))
+    much = (c("distrust") >= least) | ((c("reach") > 0) & (c("distrust") >= least * c("reach")))
+    blocked = F.coalesce(much & (c("distrust") > c("trust")), F.lit(False))
     verdict = F.when(F.coalesce("allowed", ~blocked), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
