@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctw, decontaminate, lines, minhash, mixing, paragraphs, quality, styletree, tokens, urls
+from tidemark.llm import bpe, ctw, decontaminate, lines, minhash, mixing, paragraphs, quality, styletree, tokens, urls
 
 c = F.col
 
@@ -192,3 +192,13 @@ PARAGRAPHS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS
 def op4_paragraph_dedup(spark, sf_dir):
     d = paragraphs.marked(table(spark, sf_dir, "documents"))
     return d.withColumns({x: F.array_join(c(x).cast("array<string>"), ",") for x in ("removed", "first_docs")})
+
+
+@query()
+def op11_bpe_automaton(spark, sf_dir):
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    d = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return d.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(c("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(c("text")).alias("decoded_sha256"),
+    )
