@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ctw, decontaminate, lines, minhash, mixing, paragraphs, quality, styletree, tokens, urls
+from tidemark.llm import align, bpe, ctw, decontaminate, lines, minhash, mixing, negatives, paragraphs, quality, styletree, tokens, urls
 
 c = F.col
 
@@ -202,3 +202,22 @@ def op11_bpe_automaton(spark, sf_dir):
     return d.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(c("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(c("text")).alias("decoded_sha256"),
     )
+
+
+@query()
+def op12_token_alignment(spark, sf_dir):
+    d = align.scored(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model"))
+    return d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) x WHERE k <= 5),
+    n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+)
+def op13_rns_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(negatives.relabelled(negatives.prepared(table(spark, sf_dir, "embeddings"))))
