@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -61,6 +62,8 @@ def test_automaton_reads_what_merging_gives(seed):
     for _ in range(400):
         w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 24)))
         assert [tokens[t] for t in made.encode_word(w.encode())] == merged(w, ranks), w
+        ids, at = made.encode_words(np.frombuffer((w + "ab" + w).encode(), np.uint8), np.array([0, 0, len(w), len(w) + 2, 2 * len(w) + 2]))
+        assert [[tokens[t] for t in ids[i:j]] for i, j in zip(at, at[1:])] == [[], merged(w, ranks), merged("ab", ranks), merged(w, ranks)]
 
 
 def test_automaton_leaves_out_merges_that_never_happen():
@@ -84,11 +87,17 @@ def test_codec_equals_library(library):
     assert use.decode(use.encode("é")[:1]) == "�" or len(use.encode("é")) == 1
 
 
-def test_kept_words_are_bounded():
-    known = bpe.Words(bpe.codec(PATH).automaton, most=3)
-    for w in ["a", "b", "c", "d", "a", "e", "f", "x" * 100]:
-        assert known[w] == bpe.codec(PATH).automaton.encode_word(w.encode())
-    assert len(known) <= 3 and len(known.before) <= 3
+def test_texts_together_and_in_pieces(library, monkeypatch):
+    """Whatever is taken at once: the same ids."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdehinorst  T\n'1ñ語") for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    texts += ["", "<|endoftext|>", "", "x" * 500, "a <|endoftext|>b", "", " ".join("word" for _ in range(300)), ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for name, value in (("WORDS_AT_ONCE", 7), ("TOGETHER", 3), ("TOGETHER", 600)):
+        monkeypatch.setattr(bpe, name, value)
+        ids, at = bpe.codec(PATH).encode_all(texts)
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == want
+    assert bpe.codec(PATH).encode_all([])[1].tolist() == [0]
 
 
 def sha(x):
