@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.registry import FEATURES, Registry
 from tidemark.panel import Panel
@@ -115,48 +114,118 @@ def feature_batch(bars_path: str, features_path: str, panel: Panel, names: Seque
     return write
 
 
-# -- arbitrary state ---------------------------------------------------------------------------
+# -- rows in the order of their time --------------------------------------------------------------
 
 
-def move_alerts(bars: DataFrame, threshold: float = 0.08) -> DataFrame:
-    """Bars whose close moved more than the threshold from the bar before, with the last close of each
-    series as state."""
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(",")]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        rows = []
-        for ts, close in zip(pdf["ts"], pdf["close"]):
-            if prev:
-                ret = close / prev - 1
-                if abs(ret) > threshold:
-                    rows.append((key[0], ts, close, ret))
-            prev = float(close)
-        state.update((prev,))
-        yield pd.DataFrame(rows, columns=["series_id", "ts", "close", "ret"])
 
-    return bars.groupBy("series_id").applyInPandasWithState(
-        step, "series_id string, ts timestamp, close double, ret double", "close double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def state_runs(rows: DataFrame) -> DataFrame:
-    """Length of the current run of ``state`` per series, carried from batch to batch."""
+class InOrder(StatefulProcessor):
+    """Hands the rows of a series to ``step`` in the order of their time, whatever batches they came in.
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur, length = state.get if state.exists else (None, 0)
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, s in zip(pdf["ts"], pdf["state"]):
-            length = length + 1 if s == cur else 1
-            cur = s
-            out.append((key[0], ts, s, length))
-        state.update((cur, length))
-        yield pd.DataFrame(out, columns=["series_id", "ts", "state", "run_length"])
+    A row waits in the key's buffer until the watermark has passed it; an event-time timer stands at the
+    oldest waiting row.  What was handed over is final, so a row that comes behind the watermark is dropped, and
+    a row that comes again before that replaces the first.  A row without a series only moves the
+    watermark.  ``value``, ``carried`` and ``out`` are the schemas of what a row brings, of what is passed on
+    and of what comes out.
+    """
 
-    return rows.groupBy("series_id").applyInPandasWithState(
-        step, "series_id string, ts timestamp, state string, run_length long", "state string, n long", "append", GroupStateTimeout.NoTimeout
-    )
+    value: str
+    carried: str
+    out: str
+
+    def step(self, carried: tuple | None, ts, row: tuple) -> tuple[tuple, tuple | None]:
+        """What is passed on, and the rest of an output row or None."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", f"ts timestamp, {self.value}")
+        self.passed = handle.getValueState("passed", self.carried)
+        self.due = handle.getValueState("due", "at long")
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return iter(())
+        first = None
+        for row in rows:
+            at = int(row["ts"].timestamp() * 1_000_000)
+            self.waiting.updateValue((at,), (row["ts"], *(row[x] for x in _names(self.value))))
+            first = at if first is None else min(first, at)
+        if first is not None:
+            at = -(-first // 1000)
+            if not self.due.exists():
+                self._wake(at)
+            elif at < self.due.get()[0]:
+                self.handle.deleteTimer(self.due.get()[0])
+                self._wake(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, ready, left = timerValues.getCurrentWatermarkInMs() * 1000, [], None
+        for (at,), row in self.waiting.iterator():
+            if at <= now:
+                ready.append((at, row))
+            else:
+                left = at if left is None else min(left, at)
+        carried = tuple(self.passed.get()) if self.passed.exists() else None
+        named, out = Row("series_id", "ts", *_names(self.out)), []
+        for at, row in sorted(ready, key=lambda x: x[0]):
+            self.waiting.removeKey((at,))
+            carried, found = self.step(carried, row[0], tuple(row)[1:])
+            if found is not None:
+                out.append(named(key[0], row[0], *found))
+        if ready:
+            self.passed.update(carried)
+        self.due.clear()
+        if left is not None:
+            self._wake(-(-left // 1000))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+class Moves(InOrder):
+    value, carried, out = "close double", "close double", "close double, ret double"
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def step(self, carried, ts, row):
+        (close,), prev = row, carried[0] if carried else None
+        ret = close / prev - 1 if prev and close is not None else None
+        return (close,), (close, ret) if ret is not None and abs(ret) > self.threshold else None
+
+
+class Runs(InOrder):
+    value, carried, out = "state string", "state string, n long", "state string, run_length long"
+
+    def step(self, carried, ts, row):
+        n = carried[1] + 1 if carried and carried[0] == row[0] else 1
+        return (row[0], n), (row[0], n)
+
+
+def in_order(rows: DataFrame, processor: InOrder, delay: str) -> DataFrame:
+    """Rows of a stream (``series_id``, ``ts`` and what the processor names) in the order of their time.  ``delay`` has to
+    cover how far behind the newest row one may come.  Needs the RocksDB state store."""
+    rows = rows.select("series_id", c("ts").cast("timestamp").alias("ts"), *_names(processor.value)).withWatermark("ts", delay)
+    return rows.groupBy("series_id").transformWithState(processor, f"series_id string, ts timestamp, {processor.out}", "append", "EventTime")
+
+
+def move_alerts(bars: DataFrame, threshold: float = 0.08, delay: str = "10 minutes") -> DataFrame:
+    """Bars whose close moved more than the threshold from the bar before."""
+    return in_order(bars, Moves(threshold), delay)
+
+
+def state_runs(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Length of the current run of ``state`` per series."""
+    return in_order(rows, Runs(), delay)
 
 
 def staleness(bars: DataFrame, panel: Panel, now: Column, slack: int = 1) -> DataFrame:
