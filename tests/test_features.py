@@ -148,3 +148,26 @@ def test_recursive_averages_keep_their_digits_on_flat_runs(spark):
         assert last.plus_di > 1 and last.minus_di > 1 and last.adx > 1
         np.testing.assert_allclose(t[["plus_di", "minus_di", "adx"]].iloc[200:], np.tile(t[["plus_di", "minus_di", "adx"]].iloc[[-1]].to_numpy() * [1, 1, 0], (1300, 1)) + np.outer(t.adx.iloc[200:], [0, 0, 1]), rtol=1e-6)
     np.testing.assert_allclose(tables[0].iloc[:, 2:].astype(float), tables[1].iloc[:, 2:].astype(float), rtol=1e-9)
+
+
+@pytest.mark.parametrize("chunk_rows", [16, 4096])
+def test_recursive_averages_over_gaps(spark, chunk_rows):
+    """As ``ewm(adjust=False)``: leading, single and long gaps, a series without a value, NaN, no ``series_start``."""
+    n, r = 400, np.random.default_rng(8)
+    days = pd.date_range("2001-03-01", periods=n, freq="D").date
+    made = {"none": np.full(n, np.nan), "full": r.normal(100, 5, n), "holes": r.normal(100, 5, n), "long": r.normal(-3, 1, n), "late": r.normal(5, 1, n)}
+    made["holes"][r.random(n) < 0.4] = np.nan
+    made["long"][30:290] = np.nan
+    made["late"][:77] = np.nan
+    pdf = pd.concat([pd.DataFrame({"series_id": k, "ts": days, "close": v}) for k, v in made.items()])
+    df = spark.createDataFrame(pdf).withColumn("close", F.when((F.col("series_id") == "late") | ~F.isnan("close"), F.col("close")))
+    got = FEATURES.build(df, Panel(chunk_rows=chunk_rows), ["ema_12", "ema_26", "rsi_14d"])[0].toPandas().sort_values(["series_id", "ts"])
+    for k, v in made.items():
+        g, p = got[got.series_id == k], pd.Series(v)
+        for name, span in (("ema_12", 12), ("ema_26", 26)):
+            np.testing.assert_allclose(g[name].astype(float), p.ewm(span=span, adjust=False).mean(), rtol=1e-11, err_msg=k)
+        if k == "late":
+            continue  # a NaN price has no sign
+        d = p.diff()
+        rs = d.where(d > 0, 0).ewm(alpha=1 / 14, adjust=False).mean() / ((-d).where(d < 0, 0).ewm(alpha=1 / 14, adjust=False).mean() + 1e-10)
+        np.testing.assert_allclose(g["rsi_14d"].astype(float), 100 - 100 / (1 + rs), rtol=1e-9)

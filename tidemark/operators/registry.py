@@ -13,13 +13,12 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import Shared
-from tidemark.panel import CHUNK, Panel
-
-_BLOCK = "_block"
+from tidemark.operators.recursive import affine
+from tidemark.panel import Panel
 
 
 @dataclass(frozen=True)
@@ -42,66 +41,12 @@ class Scope:
     def w(self) -> WindowSpec:
         return self.panel.window()
 
-    def since_start(self) -> Column:
-        return self.panel.pos() - self.panel.pos(F.col("series_start"))
-
-    def first_row(self) -> Column:
-        return F.col(self.panel.ts) == F.col("series_start")
 
 
 def _not_a_window(s: Scope) -> Column:
     raise ValueError("a recursive column is made by build, not by a window")
 
 
-def _folds(d: float):
-    """One step over a piece (m rows, value v), on the value alone and on the list of all values so far."""
-    step = lambda y, e: y * F.pow(F.lit(d), e["m"]) + e["v"]
-    return step, lambda ys, e: F.concat(ys, F.array(step(F.element_at(ys, -1), e)))
-
-
-def affine(df: DataFrame, panel: Panel, specs: dict[str, tuple[str, float]]) -> DataFrame:
-    """Adds y[0] = x[0], y[t] = (1-alpha) y[t-1] + alpha x[t] for each name: (x, alpha), exactly.
-
-    An affine scan in three steps.  Inside a block of at most 128 rows the recursion has the closed form
-    sum(w_j x_j d^-j) d^i, with d^-128 far from overflow.  The ends of a chunk's blocks are folded in
-    order, and so are the ends of a series' chunks, a pair (decay, value) each; every row then adds
-    what its block starts from.  Nothing is cut off, so a value keeps its digits however long the rows
-    after it are zero.  A chunk is one task, the chunks of a series are one small row each.
-    """
-    keys, first = list(panel.keys), F.col(panel.ts) == F.col("series_start")
-    begin = F.greatest(panel.chunk() * panel.chunk_rows, panel.pos(F.col("series_start")))
-    base = df.withColumn(CHUNK, panel.chunk()).repartition(*keys, CHUNK).withColumn("_i", panel.pos() - begin)
-    size = {n: max(1, min(128, int(30 / -math.log(1 - alpha)))) for n, (_, alpha) in specs.items()}
-    inside, ends, starts, values = {}, [], {}, {}
-    for n, (x, alpha) in specs.items():
-        d, b = 1.0 - alpha, size[n]
-        at = F.pmod(F.col("_i"), F.lit(b))
-        w = Window.partitionBy(*keys, CHUNK, F.floor(F.col("_i") / b)).orderBy(panel.ts).rowsBetween(Window.unboundedPreceding, 0)
-        inside[f"_in_{n}"] = F.sum(F.when(first, F.lit(1.0)).otherwise(F.lit(alpha)) * F.col(x) * F.pow(F.lit(d), -at)).over(w) * F.pow(F.lit(d), at)
-        # the last row of each block, in order: the longest prefix of every block
-        ends.append(F.sort_array(F.collect_list(F.when((at == b - 1) | F.col("_last"), F.struct(F.col("_i").alias("i"), (at + 1).alias("m"), F.col(f"_in_{n}").alias("v"))))).alias(f"_e_{n}"))
-    rows = base.withColumns(inside)
-    tail = Window.partitionBy(*keys, CHUNK)
-    rows = rows.withColumn("_last", F.col("_i") == F.max("_i").over(tail))
-    chunks = rows.groupBy(*keys, CHUNK).agg(*ends)
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    for n, (_, alpha) in specs.items():
-        step, steps = _folds(1.0 - alpha)
-        whole = F.struct(
-            F.aggregate(f"_e_{n}", F.lit(0).cast("long"), lambda a, e: a + e["m"]).alias("m"), F.aggregate(f"_e_{n}", F.lit(0.0), step).alias("v")
-        )
-        starts[f"_y_{n}"] = F.aggregate(F.collect_list(whole).over(before), F.lit(0.0), step)
-        # what each block of the chunk starts from
-        values[f"_c_{n}"] = F.aggregate(f"_e_{n}", F.array(F.col(f"_y_{n}")), steps)
-    chunks = chunks.withColumns(starts).withColumns(values).select(*keys, CHUNK, *values)
-    out = rows.join(chunks, [*keys, CHUNK])
-    made = {}
-    for n, (_, alpha) in specs.items():
-        at, block = F.pmod(F.col("_i"), F.lit(size[n])), F.floor(F.col("_i") / size[n]).cast("int")
-        made[n] = F.col(f"_in_{n}") + F.element_at(f"_c_{n}", block + 1) * F.pow(F.lit(1.0 - alpha), at + 1)
-    return out.withColumns(made).drop(CHUNK, "_i", "_last", *inside, *values)
-
-
 @dataclass
 class Registry:
     items: dict[str, Feature] = field(default_factory=dict)
@@ -112,7 +57,7 @@ class Registry:
         self.items[name] = Feature(name, ins, back, make, ahead, doc)
 
     def ewm(self, name: str, x: str, alpha: float, doc: str = "") -> None:
-        """y[0] = x[0], y[t] = (1-alpha) y[t-1] + alpha x[t]; x must not be null on the grid.
+        """y[0] = x[0], y[t] = (1-alpha) y[t-1] + alpha x[t] where no value is missing; see ``recursive`` for gaps.
 
         ``build`` computes such columns exactly over the whole series (``affine``) before the features
         that read them.  ``back`` is only what an incremental build has to read again: the rows after

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from tidemark.operators.features import FEATURES, fracdiff_weights
-from tidemark.panel import DAILY
+from tidemark.panel import DAILY, Panel
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
 
+c = F.col
 ORD = "(PARTITION BY series_id ORDER BY ts)"
 
 
@@ -245,6 +247,47 @@ def wilder_rsi(spark, sf_dir):
     return FEATURES.build(t.panel(spark, sf_dir), DAILY, ["rsi_14d"])[0]
 
 
+SQL_GAPS = f"""{t.SQL_PANEL}, gaps AS (SELECT series_id, ts, CASE WHEN n_obs > 0 AND day(ts) NOT BETWEEN 5 AND 12 AND ts >= series_start + INTERVAL 10 DAY THEN close END AS close FROM panel)"""
+
+
+def panel_with_gaps(spark, sf_dir):
+    """The panel without the carried closes, without most of the second week of each month and without its first days."""
+    p = t.panel(spark, sf_dir)
+    known = (c("n_obs") > 0) & ~F.dayofmonth("ts").between(5, 12) & (c("ts") >= F.date_add("series_start", 10))
+    return p.select("series_id", "ts", F.when(known, c("close")).alias("close"))
+
+
+def recursive_over_gaps(cols: dict[str, float], src: str, dst: str) -> str:
+    """``x_e``: what was averaged fades with every row, a known value weighs alpha."""
+    y = {x: f"CASE WHEN n.{x} IS NULL THEN r.{x}_e WHEN r.{x}_e IS NULL THEN n.{x} ELSE (r.{x}_w * {1 - a!r}::DOUBLE * r.{x}_e + {a!r}::DOUBLE * n.{x}) / (r.{x}_w * {1 - a!r}::DOUBLE + {a!r}::DOUBLE) END" for x, a in cols.items()}
+    w = {x: f"CASE WHEN n.{x} IS NULL AND r.{x}_e IS NOT NULL THEN r.{x}_w * {1 - a!r}::DOUBLE ELSE 1.0::DOUBLE END" for x, a in cols.items()}
+    first = ", ".join(f"CAST({x} AS DOUBLE) AS {x}_e, 1.0::DOUBLE AS {x}_w" for x in cols)
+    step = ", ".join(f"{y[x]}, {w[x]}" for x in cols)
+    return f"""{dst}_n AS (SELECT *, row_number() OVER {ORD} AS i FROM {src}),
+{dst} AS (SELECT series_id, ts, i, {first} FROM {dst}_n WHERE i = 1 UNION ALL
+  SELECT n.series_id, n.ts, n.i, {step} FROM {dst} r JOIN {dst}_n n ON n.series_id = r.series_id AND n.i = r.i + 1)"""
+
+
+@query(
+    "ema_with_gaps", "series_id ts ema_12:4 ema_26:4",
+    f"""WITH RECURSIVE {SQL_GAPS}, two AS (SELECT *, close AS a, close AS b FROM gaps), {recursive_over_gaps({'a': 2 / 13, 'b': 2 / 27}, 'two', 'e')}
+SELECT series_id, ts, a_e AS ema_12, b_e AS ema_26 FROM e""",
+)
+def ema_with_gaps(spark, sf_dir):
+    return FEATURES.build(panel_with_gaps(spark, sf_dir), Panel(chunk_rows=64), ["ema_12", "ema_26"])[0]
+
+
+@query(
+    "rsi_with_gaps", "series_id ts rsi_14d:6",
+    f"""WITH RECURSIVE {SQL_GAPS}, d AS (SELECT *, close - {lag('close')} AS dl FROM gaps),
+gl AS (SELECT *, CASE WHEN dl > 0 THEN dl ELSE 0 END AS gain, CASE WHEN dl < 0 THEN -dl ELSE 0 END AS loss FROM d),
+{recursive_over_gaps({'gain': 1 / 14, 'loss': 1 / 14}, 'gl', 'r')}
+SELECT series_id, ts, 100 - 100 / (1 + gain_e / (loss_e + 1e-10)) AS rsi_14d FROM r""",
+)
+def rsi_with_gaps(spark, sf_dir):
+    return FEATURES.build(panel_with_gaps(spark, sf_dir), Panel(chunk_rows=64), ["rsi_14d"])[0]
+
+
 @query(
     "macd", "series_id ts macd:3 macd_histogram:3 price_oscillator:7",
     f"""WITH RECURSIVE {t.SQL_PANEL}, c2 AS (SELECT *, close AS c12, close AS c26 FROM panel),
