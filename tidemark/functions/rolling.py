@@ -106,6 +106,34 @@ def quantiles(x, qs, w, n, m=None) -> Column:
     return gated(F.percentile(_c(x), F.array(*[F.lit(q) for q in qs])), x, w, n, m)
 
 
+def _let(x: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def percent_rank(x, w, n, m=None) -> Column:
+    """Rank of the last known value among those of the frame, ties averaged, as a share.  The frame is an array that is
+    passed once: work and memory of a row are those of its frame, whatever the series holds."""
+    frame = values(x, w, n)
+    below = lambda last: F.aggregate(frame, F.lit(0.0), lambda s, v: s + F.when(v < last, 1.0).when(v == last, 0.5).otherwise(0.0))
+    share = (_let(F.element_at(frame, -1), below) + 0.5) / F.size(frame)
+    return F.when(over(F.count(_c(x)), w, n) >= (n if m is None else m), share)
+
+
+def tail_mean(x, q: float, w, n, m=None) -> Column:
+    """Mean of the frame's values at or below its q quantile (linearly interpolated)."""
+
+    def cut(frame: Column) -> Column:
+        at = F.lit(float(q)) * (F.size(frame) - 1)
+        low, high = F.get(frame, F.floor(at).cast("int")), F.get(frame, F.ceil(at).cast("int"))
+        return low + (at - F.floor(at)) * (high - low)
+
+    total = lambda tail: F.aggregate(tail, F.lit(0.0), lambda s, v: s + v) / F.size(tail)
+    tail = lambda frame: _let(cut(frame), lambda top: _let(F.filter(frame, lambda v: v <= top), total))
+    enough = over(F.count(_c(x)), w, n) >= (n if m is None else m)
+    return F.when(enough, _let(F.sort_array(values(x, w, n)), tail))
+
+
 def zscore(x, w, n, m=None):
     return F.try_divide(_c(x) - mean(x, w, n, m), std(x, w, n, m))
 

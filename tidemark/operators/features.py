@@ -154,6 +154,7 @@ for p in (14, 25, 30):
 for p in (5, 10, 20, 50, 100, 200):
     reg.add(f"_ma_{p}", "close", lambda s, p=p: R.mean("close", s.w, p), back=p)
     reg.add(f"distance_ma_{p}", f"close _ma_{p}", lambda s, p=p: div(c("close") - c(f"_ma_{p}"), f"_ma_{p}") * 100)
+    reg.add(f"distance_percentile_{p}", f"distance_ma_{p}", lambda s, p=p: R.percent_rank(f"distance_ma_{p}", s.w, 2 * p) * 100, back=2 * p)
     reg.add(f"zscore_ma_{p}", "close", lambda s, p=p: R.zscore("close", s.w, p), back=p)
 
 # -- volume ------------------------------------------------------------------------------------
@@ -261,6 +262,10 @@ reg.add("sortino_30d", "return_30d _ddev", lambda s: F.when(c("_ddev") > 0, c("r
 for p in (30, 90, 180, 365):
     reg.add(f"_dd_{p}", "close", lambda s, p=p: div(c("close") - R.high("close", s.w, p), R.high("close", s.w, p)), back=p)
     reg.add(f"max_drawdown_{p}d", f"_dd_{p}", lambda s, p=p: R.low(f"_dd_{p}", s.w, p), back=p)
+reg.add("cvar_95", "return_1d", lambda s: R.tail_mean("return_1d", 0.05, s.w, 252), back=252)
+for n, y in ((365, 1), (730, 2)):
+    reg.add(f"price_percentile_{y}y", "close", lambda s, n=n: R.percent_rank("close", s.w, n), back=n)
+reg.add("vol_percentile_1y", "volatility_30d", lambda s: R.percent_rank("volatility_30d", s.w, 365), back=365)
 reg.add("var_95", "return_1d", lambda s: R.quantile("return_1d", 0.05, s.w, 252), back=252)
 
 # -- macro, sentiment, cross-asset -------------------------------------------------------------

@@ -385,18 +385,6 @@ def trend_pvalue(w: np.ndarray) -> np.ndarray:
     return np.where(syy > 0, t_two_sided(t, n - 2), np.nan)
 
 
-def volatility_percentile(short: int):
-    """Share of the window's short-horizon volatilities at or below the current one (mean of the
-    strict and weak counts), in percent; input is a window of returns."""
-
-    def fn(w):
-        v = np.lib.stride_tricks.sliding_window_view(w, short, axis=1).std(axis=2, ddof=1)
-        last = v[:, -1:]
-        return ((v < last).sum(axis=1) + (v <= last).sum(axis=1) + (v <= last).any(axis=1)) * 50.0 / v.shape[1]
-
-    return fn
-
-
 def higher_extremes(half: int, highs: bool = True):
     """1 if the last two local extremes (equal to the extreme of +-half rows) rise, else 0."""
 
@@ -450,11 +438,6 @@ MODEL_KERNELS = (
     Kernel("structural_break_score", "close", structural_break(50), 100, 50),
 )
 CUSUM_KERNELS = tuple(Kernel(f"cusum_{s}", "simple_return_1d", cusum(s), 30, 10) for s in ("pos", "neg"))
-RANK_KERNELS = (
-    Kernel("price_percentile_1y", "close", percent_rank, 365),
-    Kernel("price_percentile_2y", "close", percent_rank, 730),
-    Kernel("vol_percentile_1y", "volatility_30d", percent_rank, 365),
-)
 
 
 def window_family(windows: Sequence[int], column: str = "close") -> list[Kernel]:

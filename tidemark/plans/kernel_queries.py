@@ -54,11 +54,11 @@ def volatility_percentile(spark, sf_dir):
     base, _ = FEATURES.build(t.panel(spark, sf_dir), DAILY, ["simple_return_1d"])
     from tidemark.functions import rolling as R
 
-    f = DAILY.halo(base, 60)
+    f = DAILY.halo(base, 61)
     w = DAILY.window()
     f = f.withColumns({"s": F.round(R.std("simple_return_1d", w, 10), 9), "_n": F.count("simple_return_1d").over(R.frame(w, 60))})
-    base = DAILY.owned(f)
-    out = K.apply_kernels(base, DAILY, [K.Kernel("_rank", "s", K.percent_rank, 51)])
+    # 10 returns of the 60 make the first deviation, 51 deviations stand in the window
+    out = DAILY.owned(f.withColumn("_rank", R.percent_rank("s", w, 51)))
     # the averaged rank counts (strict + weak + 1) / 2
     pct = F.when(c("_n") == 60, c("_rank") * 100)
     label = (

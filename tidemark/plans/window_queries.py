@@ -177,7 +177,7 @@ def percent_ranks(spark, sf_dir):
     base, _ = FEATURES.build(t.panel(spark, sf_dir), DAILY, ["volatility_30d"], keep=["close"])
     # deviations that differ only in the last bits would break ties differently on each engine
     base = base.withColumn("volatility_30d", F.round("volatility_30d", 9))
-    return kernels.apply_kernels(base, DAILY, kernels.RANK_KERNELS)
+    return FEATURES.build(base, DAILY, ["price_percentile_1y", "price_percentile_2y", "vol_percentile_1y"])[0]
 
 
 @query(
@@ -187,8 +187,7 @@ def percent_ranks(spark, sf_dir):
         SELECT series_id, ts, CASE WHEN n = 252 THEN list_avg(list_filter(a, lambda v: v <= q)) END AS cvar_95 FROM l""",
 )
 def tail_loss(spark, sf_dir):
-    base, _ = FEATURES.build(t.panel(spark, sf_dir), DAILY, ["return_1d"])
-    return kernels.apply_kernels(base, DAILY, [kernels.Kernel("cvar_95", "return_1d", kernels.tail_mean(0.05), 252)])
+    return FEATURES.build(t.panel(spark, sf_dir), DAILY, ["cvar_95"])[0]
 
 
 @query(
@@ -200,10 +199,7 @@ def tail_loss(spark, sf_dir):
           CASE WHEN n2 = 100 THEN (len(list_filter(l2, lambda q: q < d50)) + (len(list_filter(l2, lambda q: q = d50)) + 1) / 2.0) / 100 * 100 END AS distance_percentile_50 FROM l""",
 )
 def distance_percentiles(spark, sf_dir):
-    base, _ = FEATURES.build(t.panel(spark, sf_dir), DAILY, ["distance_ma_10", "distance_ma_50"])
-    ks = [kernels.Kernel(f"_p{n}", f"distance_ma_{n}", kernels.percent_rank, 2 * n) for n in (10, 50)]
-    out = kernels.apply_kernels(base, DAILY, ks)
-    return out.withColumns({f"distance_percentile_{n}": c(f"_p{n}") * 100 for n in (10, 50)})
+    return FEATURES.build(t.panel(spark, sf_dir), DAILY, ["distance_percentile_10", "distance_percentile_50"])[0]
 
 
 # -- cumulative and run-length operators -------------------------------------------------------
