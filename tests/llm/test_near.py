@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, links, minhash, paragraphs
-from tidemark.llm.words import shingle_hashes, text_bytes, word_hashes
+from tidemark.llm.words import mix, shingle_hashes, text_bytes, word_hashes
 
 
 def test_word_hashes_follow_words():
@@ -85,12 +85,94 @@ def test_one_id_with_several_texts(spark):
 
 
 def test_paragraphs(spark, docs, no_docs):
-    got = {r.doc_id: r for r in paragraphs.drop_repeats(docs.where("doc_id is not null")).collect()}
-    assert got[9].n_repeated == 1 and got[9].n_removed == 0 and got[10].n_removed == 1 and got[10].text == "head" and got[10].first_docs == [9]
-    assert got[2].n_removed == 1 and got[2].text == "" and got[1].n_removed == 0 and got[3].n_removed == 1
-    assert got[4].text is None and got[5].text == "" and got[12].n_removed == 0 and got[6].n_removed == 0
+    extra = docs.where("doc_id is not null").withColumnRenamed("lang", "removed").withColumnRenamed("n_chars", "at")
+    got = {r.doc_id: r for r in paragraphs.drop_repeats(extra).collect()}
+    # the passage of 60 words stands in 9 and 10; its ends are in pieces with other words
+    assert 25 <= got[9].n_repeated <= 60 and got[9].n_removed == 0 and got[10].first_docs == [9] and got[10].n_removed == got[9].n_repeated
+    left = got[10].text.split()
+    assert left[0] == "head" and len(left) == 61 - got[10].n_removed and "p530" not in left and "p530" in got[9].text
+    assert got[1].n_removed == 0 and got[1].n_repeated >= 50 and got[2].text == "" and got[3].n_removed >= 40 and "w999" in got[3].text
+    assert got[4].text is None and got[5].text == "" and got[12].n_removed == 0 and got[6].n_removed == 0 and got[6].n_repeated == 0
     assert paragraphs.drop_repeats(no_docs).count() == 0
-    assert paragraphs.bands_for(80, 4, 0.9995) == 15
+    assert paragraphs.bands_for(80, 4, 0.9995) == 15 and paragraphs.bands_for(80, 2, 0.98) == 4
+
+
+def pieces(words, reach):
+    """Cuts of one text by plain loops over the hashes of three words."""
+    raw, offsets = text_bytes(pa.array([" ".join(words)]))
+    h, _ = word_hashes(raw, offsets)
+    one = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0])
+    g = [one(int(h[i]) * 0x9E3779B97F4A7C15 + one(int(h[i + 1]) * 0xC2B2AE3D27D4EB4F + int(h[i + 2]))) for i in range(len(h) - 2)]
+    at = [0] + [i for i in range(1, len(g)) if all(g[i] < x for x in g[max(0, i - reach) : i]) and all(g[i] <= x for x in g[i + 1 : i + reach + 1])]
+    return list(zip(at, [*at[1:], len(h)])) if len(h) else []
+
+
+def test_cuts_are_local_and_equal_plain_loops():
+    rng = random.Random(2)
+    texts = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 2, 3, 9, 80, 300]))] for _ in range(60)]
+    raw, offsets = text_bytes(pa.array([" ".join(t) for t in texts]))
+    words, first = word_hashes(raw, offsets)
+    got = paragraphs.cuts(words, first)
+    for i, t in enumerate(texts):
+        own = got[(got >= first[i]) & (got < first[i + 1])] - first[i]
+        assert own.tolist() == [a for a, _ in pieces(t, paragraphs.REACH)]
+    x, n = paragraphs._shingles([words[a:b] for a, b in ((0, 3), (3, 3), (5, 40))], 5)
+    assert n.tolist() == [0, 0, len(x)] and set(x.tolist()) == set(shingle_hashes(words[5:40]).tolist())
+
+
+def test_passages_equal_brute_force(spark):
+    """Passages inside lines, over lines and wrapped anew, some with an edit, a very common one, against plain loops."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(4000)}"
+    passages = [[word() for _ in range(rng.choice([30, 55, 70, 120]))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(rng.choice([0, 6, 40, 150]))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            p = list(passages[0 if i % 3 == 0 else rng.randrange(12)])
+            if rng.random() < 0.3:
+                p[rng.randrange(len(p))] = word()
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+        rows.append((i, "".join(x + rng.choice([" ", " ", " ", "\n"]) for x in w)))
+    units, sets = [], {}
+    for i, text in rows:
+        w = text.split()
+        for a, b in pieces(w, paragraphs.REACH):
+            s = frozenset(tuple(w[j : j + 5]) for j in range(a, b - 4))
+            if b - a >= 5:
+                units.append((i, a, b, s))
+                sets.setdefault(s, (i, a))
+    keys = list(sets)
+    comp = {s: s for s in keys}
+    by = {}
+    for s in keys:
+        for g in s:
+            by.setdefault(g, []).append(s)
+    pairs = {(x, y) for group in by.values() for x in group for y in group if x is not y}
+    for x, y in pairs:
+        if 100 * len(x & y) >= 80 * len(x | y):
+            a, b = comp[x], comp[y]
+            comp = {k: (a if v is b else v) for k, v in comp.items()} if a is not b else comp
+    places = {}
+    for i, a, _, s in units:
+        places.setdefault(id(comp[s]), []).append((i, a))
+    want = {i: [0, 0] for i, _ in rows}
+    for n, keep in enumerate((lambda i, a, p: len({d for d, _ in p}) > 1, lambda i, a, p: (i, a) != min(p))):
+        last = None
+        runs = []
+        for i, a, b, s in units:
+            if keep(i, a, places[id(comp[s])]):
+                if last == (i, a):
+                    runs[-1][2] = b
+                else:
+                    runs.append([i, a, b])
+                last = (i, b)
+        for i, a, b in runs:
+            if b - a >= paragraphs.LEAST_WORDS:
+                want[i][n] += b - a
+    got = paragraphs.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [r.n_repeated, r.n_removed] for r in got} == want and sum(x for x, _ in want.values()) > 1000
 
 
 def edit_distance_in(item, text):

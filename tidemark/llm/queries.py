@@ -168,30 +168,11 @@ def op1_link_trust_urls(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-PARAGRAPHS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-  units AS (SELECT doc_id, i, w FROM (SELECT doc_id, i, regexp_extract_all(translate(line, {AZ}), '{W}') AS w FROM lines) x WHERE len(w) >= {paragraphs.LEAST_WORDS}),
-  sets AS (SELECT min({{'d': doc_id, 'i': i}}) AS id, max({{'d': doc_id, 'i': i}}) AS last, s FROM (SELECT doc_id, i, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')))) AS s FROM units) x GROUP BY s),
-  own AS (SELECT doc_id, i, id FROM (SELECT doc_id, i, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')))) AS s FROM units) x JOIN sets USING (s)),
-  grams AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets)"""
-
-
-@query(
-    f"""WITH RECURSIVE {PARAGRAPHS},
-    links AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2) p WHERE 100 * k >= {paragraphs.PERCENT} * (na + nb - k)),
-    reach(id, r) AS (SELECT id, id FROM sets UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.id),
-    comp AS (SELECT id, min(r) AS r FROM reach GROUP BY id),
-    whole AS (SELECT r, max(last) AS last FROM comp JOIN sets USING (id) GROUP BY r HAVING max(last) <> r),
-    hit AS (SELECT doc_id, i, r.d AS first_doc, r.i AS first_line, r.d <> last.d AS several FROM own JOIN comp USING (id) JOIN whole USING (r)),
-    gone AS (SELECT *, doc_id <> first_doc OR i <> first_line AS bad FROM hit),
-    per AS (SELECT doc_id, count(DISTINCT i) FILTER (WHERE several) AS n_repeated, count(*) FILTER (WHERE bad) AS n_removed,
-              coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE bad), '') AS removed FROM gone GROUP BY doc_id),
-    firsts AS (SELECT doc_id, string_agg(CAST(first_doc AS VARCHAR), ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT doc_id, first_doc FROM gone WHERE several) q GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(first_docs, '') AS first_docs
-    FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN firsts USING (doc_id)"""
-)
+@query()
 def op4_paragraph_dedup(spark, sf_dir):
     d = paragraphs.marked(table(spark, sf_dir, "documents"))
-    return d.withColumns({x: F.array_join(c(x).cast("array<string>"), ",") for x in ("removed", "first_docs")})
+    spans = F.transform("removed", lambda x: F.concat_ws("-", x["begin"], x["end"]))
+    return d.withColumns({"removed": F.array_join(spans, ","), "first_docs": F.array_join(c("first_docs").cast("array<string>"), ",")})
 
 
 @query()
