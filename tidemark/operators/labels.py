@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.operators.order_stats import expanding_median
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.panel import Panel, Running
+from tidemark.stage import stage
 
 c = F.col
 
@@ -75,28 +73,6 @@ def triple_barrier(df: DataFrame, panel: Panel, vol: str, configs: Mapping[str,
     return panel.owned(f)
 
 
-def _expanding_median(panel: Panel, x: str, out: str, schema: T.StructType):
-    """Median of everything known so far, by insertion into one sorted list per series.
-
-    It needs the whole past of a series in order, so it runs one series per task; rows per series
-    are bounded by the calendar, and series run in parallel.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(panel.ts, kind="stable")
-        seen: list[float] = []
-        med = np.full(len(pdf), np.nan)
-        for i, v in enumerate(pdf[x].to_numpy(dtype=float, na_value=np.nan)):
-            if not np.isnan(v):
-                bisect.insort(seen, v)
-            if seen:
-                k = len(seen)
-                med[i] = (seen[(k - 1) // 2] + seen[k // 2]) / 2
-        return pdf.assign(**{out: med})[[f.name for f in schema.fields]]
-
-    return run
-
-
 def volatility_labels(df: DataFrame, panel: Panel, ret: str, n: int = 5) -> DataFrame:
     """Realised volatility of the next n returns against the last n (missing returns count 0):
     does it rise, is it above the expanding median of the past, and its tercile.
@@ -108,14 +84,14 @@ def volatility_labels(df: DataFrame, panel: Panel, ret: str, n: int = 5) -> Data
     f = f.withColumn("_r", F.coalesce(c(ret), F.lit(0.0)))
     std = lambda lo, hi: F.when(F.count("_r").over(w.rowsBetween(lo, hi)) == n, F.stddev_samp("_r").over(w.rowsBetween(lo, hi)))
     f = panel.owned(f.withColumns({"current_vol": std(1 - n, 0), "future_vol": std(1, n)}).drop("_r"))
-    schema = T.StructType(f.schema.fields + [T.StructField("_med", T.DoubleType())])
-    f = f.groupBy(*panel.keys).applyInPandas(_expanding_median(panel, "current_vol", "_med", schema), schema)
+    f = stage(f, "volatility")  # several passes follow
+    f = expanding_median(f, panel, "current_vol", "_med")
     f = f.join(exact_quantiles(f, panel.keys, "current_vol", [0.33, 0.66], "_cuts"), list(panel.keys), "left")
     v, now = c("future_vol"), c("current_vol")
     return f.withColumns(
         {
             "vol_up": F.when(v.isNotNull() & now.isNotNull(), (v > now).cast("int")),
-            "vol_high": F.when(v.isNotNull(), F.coalesce(v > F.nanvl("_med", F.lit(None).cast("double")), F.lit(False)).cast("int")),
+            "vol_high": F.when(v.isNotNull(), F.coalesce(v > c("_med"), F.lit(False)).cast("int")),
             "vol_tercile": F.when(v.isNull(), None).when(v < c("_cuts")[0], 0).when(v < c("_cuts")[1], 1).otherwise(2),
         }
     ).drop("_med", "_cuts")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, kernels, labels, regimes
+from tidemark.operators import joins, labels, regimes
 from tidemark.operators.features import FEATURES
 from tidemark.operators.decisions import scenarios
+from tidemark.operators.order_stats import expanding_median
 from tidemark.panel import DAILY, Running
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
@@ -330,6 +331,16 @@ def expanding_stats(spark, sf_dir):
     return df.withColumns({"expanding_mean": F.when(ok, F.ln(c("_o_close") + c("_s") / c("_n"))), "expanding_std": F.when(ok, F.sqrt(var))})
 
 
+@query(
+    "expanding_median", "series_id ts median_close:6 median_volume:6",
+    f"WITH {t.SQL_PANEL} SELECT series_id, ts, quantile_cont(CASE WHEN n_obs > 0 THEN close END, 0.5) OVER {ORD} AS median_close, quantile_cont(volume, 0.5) OVER {ORD} AS median_volume FROM panel",
+)
+def expanding_medians(spark, sf_dir):
+    """Of the observed closes, with gaps, and of the volume, which is 0 on many days."""
+    p = t.panel(spark, sf_dir).select("series_id", "ts", F.when(c("n_obs") > 0, c("close")).alias("close"), "volume")
+    return expanding_median(expanding_median(p, DAILY, "close", "median_close"), DAILY, "volume", "median_volume")
+
+
 # -- regimes -----------------------------------------------------------------------------------
 
 _CODES = {
