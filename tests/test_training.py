@@ -132,3 +132,32 @@ def test_permutations_do_not_depend_on_blocks_or_partitions(spark):
     two = rob.permutations(df.repartition(4), Panel(chunk_rows=20), 6, first=4).orderBy("perm").toPandas()
     np.testing.assert_allclose(one["cum"][4:], two["cum"], rtol=1e-12)
     assert one["cum"].nunique() == 10
+
+
+def test_leaf_quantiles_equal_sql_over_stored_leaves(spark, tmp_path):
+    """The spread follows the rows, and SQL over the stored leaves gives the same forecasts."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    n = 900
+    x, z = rng.normal(0, 1, n), rng.normal(0, 1, n)
+    y = x + rng.normal(0, 1, n) * np.where(x > 0, 2.0, 0.1)
+    days = pd.date_range("2000-01-01", periods=n, freq="D").date
+    pdf = pd.DataFrame({"series_id": "s", "ts": days, "x": x, "z": np.where(rng.random(n) < 0.1, np.nan, z), "y": np.where(np.arange(n) % 50 == 0, np.nan, y)})
+    df = spark.createDataFrame(pdf).withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in ("z", "y")})
+    train, test = df.where("ts < '2002-01-01'"), df.where("ts >= '2002-01-01'")
+    models = tr.fit_bags(train, ["x", "z"], "y", ["series_id", "ts"], 2, size=6, depth=3)
+    got = tr.leaf_quantiles(models, train, test, ["x", "z"], "y").toPandas().sort_values("ts").reset_index(drop=True)
+    for name, part in (("train", train.where("y is not null")), ("test", test)):
+        tr.leaves(models, part, ["x", "z"]).write.parquet(f"{tmp_path}/{name}")
+    sql = f"""WITH a AS (SELECT y, unnest(_leaves) AS leaf, generate_subscripts(_leaves, 1) AS tree FROM '{tmp_path}/train/*.parquet'),
+      q AS (SELECT tree, leaf, quantile_cont(y, 0.1) AS a, quantile_cont(y, 0.5) AS b, quantile_cont(y, 0.9) AS c FROM a GROUP BY 1, 2),
+      t AS (SELECT ts, unnest(_leaves) AS leaf, generate_subscripts(_leaves, 1) AS tree FROM '{tmp_path}/test/*.parquet')
+      SELECT ts, avg(a) AS q10, avg(b) AS q50, avg(c) AS q90 FROM t JOIN q USING (tree, leaf) GROUP BY ts ORDER BY ts"""
+    want = duckdb.sql(sql).df()
+    assert len(got) == len(want) == test.count()
+    for q in ("q10", "q50", "q90"):
+        np.testing.assert_allclose(got[q], want[q], rtol=1e-12)
+    spread = got.q90 - got.q10
+    assert spread[got.x > 0.5].mean() > 2 * spread[got.x < -0.5].mean() and got.z.isna().any()
+    assert tr.leaf_quantiles(models, train, test.limit(0), ["x", "z"], "y").count() == 0

@@ -197,6 +197,45 @@ def residual_quantiles(models: Sequence[PipelineModel], train: DataFrame, test:
     return out.withColumns({f"q{int(q * 100):02d}": c("pred") + F.get("_r", F.lit(i)) for i, q in enumerate(qs)}).drop("_r")
 
 
+def leaves(models: Sequence[PipelineModel], df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds ``_leaves``: the leaf of each row in each tree of all bags."""
+    cols = df.columns
+    cur = df.withColumns({f"_o_{f}": c(f) for f in features}).na.fill(0.0, list(features))
+    parts = []
+    for i, m in enumerate(models):
+        forest = m.stages[-1].copy()
+        forest.setLeafCol(f"_l{i}")
+        cur = PipelineModel([*m.stages[:-1], forest]).transform(cur).drop("_x", "prediction")
+        parts.append(F.transform(vector_to_array(f"_l{i}"), lambda x: x.cast("int")))
+    keep = [c(f"_o_{x}").alias(x) if x in features else c(x) for x in cols]
+    return cur.select(*keep, F.concat(*parts).alias("_leaves"))
+
+
+def leaf_table(train_leaves: DataFrame, label: str, qs: Sequence[float]) -> DataFrame:
+    """``tree``, ``leaf``, ``q``: quantiles of the training labels in each leaf, exact."""
+    rows = train_leaves.where(c(label).isNotNull()).select(label, F.posexplode("_leaves").alias("tree", "leaf"))
+    return exact_quantiles(rows, ["tree", "leaf"], label, list(qs), "q")
+
+
+def leaf_quantiles(models: Sequence[PipelineModel], train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
+                   qs: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Quantile forecasts that vary by row: the quantiles of the training labels in the row's leaf, averaged over the trees.
+
+    The table of leaves has trees x leaves rows, which the settings of the forest bound whatever the data; it is looked up as
+    one array of arrays, so neither training nor test rows are multiplied by the trees after it is made.
+    """
+    table = stage(leaf_table(leaves(models, train.filter(c(label).isNotNull()), features), label, qs), "leaves")
+    own = F.map_from_entries(F.collect_list(F.struct("leaf", "q")))
+    trees = table.groupBy("tree").agg(own.alias("_m"), F.max("leaf").alias("_top"))
+    trees = trees.select("tree", F.transform(F.sequence(F.lit(0), c("_top")), lambda i: F.try_element_at("_m", i)).alias("_q"))
+    dense = trees.agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "_q"))), lambda x: x["_q"]).alias("_t"))
+    out = leaves(models, test, features).withColumn("_t", dense.scalar())
+    hit = F.filter(F.transform("_leaves", lambda leaf, tree: F.get(F.get("_t", tree), leaf)), lambda q: q.isNotNull())
+    out = predict_mean(models, out.withColumn("_q", hit), features, "pred")
+    mean = lambda i: F.aggregate("_q", F.lit(0.0), lambda s, q: s + F.get(q, F.lit(i))) / F.nullif(F.size("_q"), F.lit(0))
+    return out.withColumns({f"q{round(q * 100):02d}": mean(i) for i, q in enumerate(qs)}).drop("_leaves", "_t", "_q")
+
+
 def fit_robust(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     """Linear model under Huber loss."""
     base = train.na.fill(0.0, list(features)).filter(c(label).isNotNull())

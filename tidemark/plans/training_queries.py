@@ -116,8 +116,8 @@ def _split(spark, sf_dir):
 @query("quantile_forecasts", "series_id ts pred:8 q10:8 q50:8 q90:8")
 def quantile_forecasts(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    models = tr.fit_bags(train, FEATURES, "y", ["series_id", "ts"], 1, size=8, depth=3)
-    return tr.residual_quantiles(models, train, test, FEATURES, "y")
+    models = tr.fit_bags(train, FEATURES, "y", ["series_id", "ts"], 2, size=12, depth=4)
+    return tr.leaf_quantiles(models, train, test, FEATURES, "y")
 
 
 @query("robust_forecasts", "series_id ts pred:8")
