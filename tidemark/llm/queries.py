@@ -55,8 +55,10 @@ def op2_minhash_near_dedup(spark, sf_dir):
 @query(
     f"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     k AS (SELECT *, translate(trim(line, {OUTER}), {AZ}) AS k FROM l),
-    p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-    n AS (SELECT source, k, count(DISTINCT doc_id) AS n FROM k WHERE k <> '' GROUP BY source, k),
+    t AS (SELECT source, list_filter(list_transform(string_split(text, chr(10)), lambda x: translate(trim(x, {OUTER}), {AZ})), lambda x: x <> '') AS ks FROM documents),
+    u AS (SELECT DISTINCT source, list_filter(ks, lambda x, i: list_position(ks, x) = i) AS ks FROM t),
+    p AS (SELECT source, count(*) AS pages FROM u GROUP BY source),
+    n AS (SELECT source, k, count(*) AS n FROM (SELECT source, unnest(ks) AS k FROM u) x GROUP BY source, k),
     b AS (SELECT n.source, k FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source WHERE n >= {lines.LEAST} AND n > CAST({lines.RATIO} AS DOUBLE) * pages),
     m AS (SELECT k.*, b.k IS NOT NULL AS bad FROM k LEFT JOIN b ON k.k = b.k AND k.source IS NOT DISTINCT FROM b.source),
     g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad), '') AS text FROM m GROUP BY doc_id)
@@ -160,9 +162,12 @@ _HOST = f"translate(coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1),
     j AS (SELECT page_id, html, host, path, {_rule_case(lambda r, a: f"'{r}'")} AS rule, {_rule_case(lambda r, a: str(a).upper())} AS allowed FROM u),
     edges AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{urls.LINK.replace("'", "''")}', 1)), {AZ}) AS dst FROM j) l WHERE src <> dst AND src <> '' AND dst <> ''),
     seed AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE allowed) AS good, count(*) FILTER (WHERE NOT allowed) AS bad FROM j WHERE host <> '' GROUP BY host),
-    {_rounds('t', 'src', 'dst', f'good >= {urls.SHARE} * n AND good > bad')}, {_rounds('b', 'dst', 'src', f'bad >= {urls.SHARE} * n AND bad > good')}
-    SELECT page_id, j.host, path, rule, CASE WHEN coalesce(allowed, NOT (coalesce(b.score, 0) >= {urls.LEAST} AND coalesce(b.score, 0) > coalesce(t.score, 0))) THEN 'allow' ELSE 'block' END AS verdict
-    FROM j LEFT JOIN t{urls.ROUNDS} t ON t.host = j.host LEFT JOIN b{urls.ROUNDS} b ON b.host = j.host"""
+    {_rounds('t', 'src', 'dst', f'good >= {urls.SHARE} * n AND good > bad')}, {_rounds('b', 'dst', 'src', f'bad >= {urls.SHARE} * n AND bad > good')},
+    linkers AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst),
+    reach AS (SELECT src AS host, sum({urls.DAMPING * (1 - urls.DAMPING)!r}::DOUBLE / n) AS most FROM edges JOIN linkers USING (dst) GROUP BY src),
+    s AS (SELECT page_id, j.host, path, rule, allowed, coalesce(t.score, 0) AS trust, coalesce(b.score, 0) AS distrust, coalesce(most, 0) AS most
+      FROM j LEFT JOIN t{urls.ROUNDS} t ON t.host = j.host LEFT JOIN b{urls.ROUNDS} b ON b.host = j.host LEFT JOIN reach r ON r.host = j.host)
+    SELECT page_id, host, path, rule, CASE WHEN coalesce(allowed, NOT ((distrust >= {urls.LEAST} OR (most > 0 AND distrust >= {urls.LEAST} * most)) AND distrust > trust)) THEN 'allow' ELSE 'block' END AS verdict FROM s"""
 )
 def op1_link_trust_urls(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
