@@ -131,6 +131,7 @@ def test_permutations_do_not_depend_on_blocks_or_partitions(spark):
     one = rob.permutations(df, DAILY, 10).orderBy("perm").toPandas()
     two = rob.permutations(df.repartition(4), Panel(chunk_rows=20), 6, first=4).orderBy("perm").toPandas()
     np.testing.assert_allclose(one["cum"][4:], two["cum"], rtol=1e-12)
+    np.testing.assert_allclose(one["max_dd"][4:], two["max_dd"], rtol=1e-12)
     assert one["cum"].nunique() == 10
 
 
@@ -161,3 +162,23 @@ def test_leaf_quantiles_equal_sql_over_stored_leaves(spark, tmp_path):
     spread = got.q90 - got.q10
     assert spread[got.x > 0.5].mean() > 2 * spread[got.x < -0.5].mean() and got.z.isna().any()
     assert tr.leaf_quantiles(models, train, test.limit(0), ["x", "z"], "y").count() == 0
+
+
+def test_permuted_blocks_go_on_where_they_stopped(spark, tmp_path):
+    n = 40
+    r = np.random.default_rng(6)
+    pdf = pd.DataFrame({
+        "series_id": "s", "ts": pd.date_range("2020-01-03", periods=n, freq="7D").date, "pred": r.normal(0, 0.02, n), "p_up": r.uniform(0, 1, n),
+        "k": 30.0, "asset_ret": r.normal(0, 0.05, n), "cash_ret": 0.002,
+    })
+    df = spark.createDataFrame(pdf)
+    rob.permuted_blocks(df, DAILY, 10, str(tmp_path), block=5)
+    made = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    got = rob.permuted_blocks(df, DAILY, 12, str(tmp_path), block=5).orderBy("perm").toPandas()
+    assert all(f.stat().st_mtime_ns == t for f, t in made.items())
+    want = rob.permutations(df, DAILY, 12).orderBy("perm").toPandas()
+    np.testing.assert_allclose(got[["cum", "sharpe", "max_dd"]], want[["cum", "sharpe", "max_dd"]], rtol=1e-12)
+    base = rob.unshuffled(df, DAILY).first()
+    assert -1 < base.max_dd < 0
+    summary = rob.permutation_summary(spark.createDataFrame(got), rob.unshuffled(df, DAILY), ["series_id"]).first()
+    assert summary.n == 12 and summary.max_dd_p_value == pytest.approx((want.max_dd > base.max_dd).mean())

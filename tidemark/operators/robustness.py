@@ -27,8 +27,8 @@ def permutations(decisions: DataFrame, panel: Panel, n: int, scale: float = 15.0
 
     Shuffle number and row hash to a random order, so the result does not depend on partitioning;
     the row ranked r takes the place of row r.  The unit of sorting is one shuffle of one series.
-    Only aggregates of a shuffle leave it, and ``first`` lets a million shuffles run in blocks that
-    are appended to a table.
+    Only aggregates of a shuffle leave it, ``max_dd`` (the worst fall of the shuffled curve from its
+    peak, the start included) among them, and ``first`` lets a million shuffles run in blocks (``permuted_blocks``).
     """
     keys = list(panel.keys)
     rows = panel.running(decisions, {"_i": Running(F.lit(1), "count")})
@@ -42,10 +42,41 @@ def permutations(decisions: DataFrame, panel: Panel, n: int, scale: float = 15.0
     j = signal.join(place, [*keys, "_i"])
     a = allocation(c("pred"), c("k"), confidence(c("p_up"), scale))
     r = period_return(a, c("asset_ret"), c("cash_ret"))
-    return j.withColumn("_r", r).groupBy(*keys, "perm").agg(*[v.alias(k) for k, v in summary(c("_r")).items()])
+    return _with_drawdown(j.withColumn("_r", r), [*keys, "perm"], "_i")
 
 
-def permutation_summary(perms: DataFrame, baseline: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("cum", "sortino", "sharpe")) -> DataFrame:
+def _with_drawdown(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """The metrics of the returns ``_r`` of each group and ``max_dd``; a group is one log or one shuffle of it."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.withColumn("_g", F.product(1 + F.coalesce("_r", F.lit(0.0))).over(w))
+    d = d.withColumn("_f", c("_g") / F.greatest(F.max("_g").over(w), F.lit(1.0)) - 1)
+    return d.groupBy(*by).agg(*[v.alias(k) for k, v in summary(c("_r")).items()], F.min("_f").alias("max_dd"))
+
+
+def unshuffled(decisions: DataFrame, panel: Panel, scale: float = 15.0) -> DataFrame:
+    """The metrics of the decisions as they are, to hold ``permutations`` against."""
+    a = allocation(c("pred"), c("k"), confidence(c("p_up"), scale))
+    return _with_drawdown(decisions.withColumn("_r", period_return(a, c("asset_ret"), c("cash_ret"))), list(panel.keys), panel.ts)
+
+
+def permuted_blocks(decisions: DataFrame, panel: Panel, n: int, path: str, block: int = 20_000, scale: float = 15.0) -> DataFrame:
+    """``n`` shuffles in blocks of ``block``, each written to its own folder under ``path``; folders that are complete are not
+    made again, so a run that ended early goes on where it stopped.  Returns all of them."""
+    spark = decisions.sparkSession
+    folders = []
+    for first in range(0, n, block):
+        folder = f"{path}/first={first}-n={min(block, n - first)}"
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            permutations(decisions, panel, min(block, n - first), scale, first).write.mode("overwrite").parquet(folder)
+        folders.append(folder)
+    return spark.read.parquet(*folders)
+
+
+METRICS = ("cum", "sortino", "sharpe", "max_dd")
+
+
+def permutation_summary(perms: DataFrame, baseline: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
     """Distribution of each metric over the shuffles and the share strictly above the baseline.
 
     A Sortino ratio without a losing period is null here and stands for infinity: it is above any

@@ -336,28 +336,34 @@ def decision_day_sets(spark, sf_dir):
 
 # -- robustness --------------------------------------------------------------------------------
 
-_PERMS = 200
+_PERMS = 1000
 _SUMM = "product(1 + r) - 1 AS cum, avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r END)), 0) * sqrt(52.0) AS sortino, avg(r) / nullif(stddev_pop(r), 0) * sqrt(52.0) AS sharpe"
 _PERM_SQL = f"""{D}, o AS (SELECT *, row_number() OVER {ORD} AS i FROM decisions),
   sg1 AS (SELECT p.perm, o.series_id, o.pred, o.p_up, row_number() OVER (PARTITION BY o.series_id, p.perm ORDER BY md5(p.perm || ':' || o.series_id || ':' || CAST(o.ts AS VARCHAR)), CAST(o.ts AS VARCHAR)) AS i FROM o CROSS JOIN (SELECT unnest(range({_PERMS})) AS perm) p),
-  pr AS (SELECT s.series_id, s.perm, {cl('s.pred * o.k / (1 + exp(-abs(s.p_up - 0.5) * 15))')} AS a, o.asset_ret, o.cash_ret FROM sg1 s JOIN o ON o.series_id = s.series_id AND o.i = s.i),
-  pm AS (SELECT series_id, perm, {_SUMM} FROM (SELECT *, a * asset_ret + (1 - a) * cash_ret AS r FROM pr) GROUP BY 1, 2)"""
+  pr AS (SELECT s.series_id, s.perm, {cl('s.pred * o.k / (1 + exp(-abs(s.p_up - 0.5) * 15))')} AS a, o.asset_ret, o.cash_ret, o.i FROM sg1 s JOIN o ON o.series_id = s.series_id AND o.i = s.i),
+  rr AS (SELECT *, a * asset_ret + (1 - a) * cash_ret AS r FROM pr),
+  gg AS (SELECT *, product(1 + coalesce(r, 0)) OVER (PARTITION BY series_id, perm ORDER BY i) AS g FROM rr),
+  ff AS (SELECT *, g / greatest(max(g) OVER (PARTITION BY series_id, perm ORDER BY i), 1) - 1 AS f FROM gg),
+  pm AS (SELECT series_id, perm, {_SUMM}, min(f) AS max_dd FROM ff GROUP BY 1, 2)"""
 
 
-@query("permutation_metrics", "series_id perm cum:5 sortino:6 sharpe:6", f"{_PERM_SQL} SELECT * FROM pm")
+@query("permutation_metrics", "series_id perm cum:5 sortino:6 sharpe:6 max_dd:6", f"{_PERM_SQL} SELECT * FROM pm")
 def permutation_metrics(spark, sf_dir):
     return rob.permutations(t.decisions(spark, sf_dir), DAILY, _PERMS)
 
 
 @query(
-    "permutation_p_values", "series_id n cum_mean:5 cum_max:5 cum_p95:5 cum_p_value:7 sharpe_mean:6 sharpe_max:6 sharpe_p95:6 sharpe_p_value:7 sortino_p_value:7",
-    f"""{_PERM_SQL}, b AS (SELECT series_id, {_SUMM} FROM (SELECT series_id, a * asset_ret + (1 - a) * cash_ret AS r FROM (SELECT *, {cl('pred * k / (1 + exp(-abs(p_up - 0.5) * 15))')} AS a FROM decisions)) GROUP BY 1)
+    "permutation_p_values", "series_id n cum_mean:5 cum_max:5 cum_p95:5 cum_p_value:7 sharpe_mean:6 sharpe_max:6 sharpe_p95:6 sharpe_p_value:7 sortino_p_value:7 max_dd_mean:6 max_dd_p95:6 max_dd_p_value:7",
+    f"""{_PERM_SQL}, br AS (SELECT series_id, ts, a * asset_ret + (1 - a) * cash_ret AS r FROM (SELECT *, {cl('pred * k / (1 + exp(-abs(p_up - 0.5) * 15))')} AS a FROM decisions)),
+        bg AS (SELECT *, product(1 + coalesce(r, 0)) OVER {ORD} AS g FROM br), bf AS (SELECT *, g / greatest(max(g) OVER {ORD}, 1) - 1 AS f FROM bg),
+        b AS (SELECT series_id, {_SUMM}, min(f) AS max_dd FROM bf GROUP BY 1)
         SELECT pm.series_id, count(*) AS n, avg(pm.cum) AS cum_mean, max(pm.cum) AS cum_max, quantile_cont(pm.cum, 0.95) AS cum_p95, avg(CASE WHEN pm.cum > b.cum THEN 1.0 ELSE 0.0 END) AS cum_p_value,
-          avg(pm.sharpe) AS sharpe_mean, max(pm.sharpe) AS sharpe_max, quantile_cont(pm.sharpe, 0.95) AS sharpe_p95, avg(CASE WHEN pm.sharpe > b.sharpe THEN 1.0 ELSE 0.0 END) AS sharpe_p_value, avg(CASE WHEN b.sortino IS NOT NULL AND (pm.sortino IS NULL OR pm.sortino > b.sortino) THEN 1.0 ELSE 0.0 END) AS sortino_p_value FROM pm JOIN b USING (series_id) GROUP BY 1""",
+          avg(pm.sharpe) AS sharpe_mean, max(pm.sharpe) AS sharpe_max, quantile_cont(pm.sharpe, 0.95) AS sharpe_p95, avg(CASE WHEN pm.sharpe > b.sharpe THEN 1.0 ELSE 0.0 END) AS sharpe_p_value, avg(CASE WHEN b.sortino IS NOT NULL AND (pm.sortino IS NULL OR pm.sortino > b.sortino) THEN 1.0 ELSE 0.0 END) AS sortino_p_value,
+          avg(pm.max_dd) AS max_dd_mean, quantile_cont(pm.max_dd, 0.95) AS max_dd_p95, avg(CASE WHEN pm.max_dd > b.max_dd THEN 1.0 ELSE 0.0 END) AS max_dd_p_value FROM pm JOIN b USING (series_id) GROUP BY 1""",
 )
 def permutation_p_values(spark, sf_dir):
     d = t.decisions(spark, sf_dir)
-    return rob.permutation_summary(rob.permutations(d, DAILY, _PERMS), rob.simulate(d, ["series_id"]), ["series_id"])
+    return rob.permutation_summary(rob.permutations(d, DAILY, _PERMS), rob.unshuffled(d, DAILY), ["series_id"])
 
 
 _PROBES = f"""{D}, ma AS (SELECT series_id, avg(abs(pred)) AS m, avg(pred) AS mu, stddev_pop(pred) AS sdv FROM decisions GROUP BY 1)"""
