@@ -182,3 +182,32 @@ def test_permuted_blocks_go_on_where_they_stopped(spark, tmp_path):
     assert -1 < base.max_dd < 0
     summary = rob.permutation_summary(spark.createDataFrame(got), rob.unshuffled(df, DAILY), ["series_id"]).first()
     assert summary.n == 12 and summary.max_dd_p_value == pytest.approx((want.max_dd > base.max_dd).mean())
+
+
+def test_a_changed_setting_forces_a_retrain(spark, tmp_path):
+    from tidemark.operators.model_store import ModelStore
+
+    r = np.random.default_rng(3)
+    n = 260
+    pdf = pd.DataFrame({"series_id": "s", "ts": pd.date_range("2000-01-01", periods=n).date, "x": r.normal(0, 1, n), "z": r.normal(0, 1, n)})
+    pdf["y"], pdf["up"] = pdf.x + 0.1 * r.normal(0, 1, n), (pdf.x > 0).astype(int)
+    df, store = spark.createDataFrame(pdf), ModelStore(str(tmp_path))
+
+    def run(**more):
+        return tr.walk_forward(df, DAILY, ["x", "z"], ["2000-06-01"], "y", "up", bags=1, size=3, depth=more.pop("depth", 2), store=store, **more).orderBy("ts").toPandas()
+
+    one, two = run(), run()
+    pd.testing.assert_frame_equal(one, two)
+    actions = lambda: [x.action for x in store.log(spark).orderBy("at").collect()]
+    assert actions() == ["fit", "fit", "load", "load"]
+    run(depth=3)
+    run(seed=7)
+    run(window_days=100)
+    assert actions()[4:] == ["fit"] * 6
+    # what a run left without its mark is trained again
+    for mark in tmp_path.rglob("_COMPLETE"):
+        mark.unlink()
+    pd.testing.assert_frame_equal(run(), one)
+    assert actions()[10:] == ["fit", "fit"]
+    frozen = tr.walk_forward(df, DAILY, ["x", "z"], ["2000-05-01", "2000-06-01"], "y", "up", bags=1, size=3, depth=2, frozen=True)
+    assert frozen.select("cutoff_ts").distinct().count() == 1 and frozen.agg(F.max("ts")).first()[0] == pdf.ts.max()

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -159,21 +160,32 @@ def predict_mean(models: Sequence[PipelineModel], df: DataFrame, features: Seque
 
 def walk_forward(df: DataFrame, panel: Panel, features: Sequence[str], cutoffs: Sequence[str], label_reg: str, label_cls: str,
                  horizon: int = 3, bags: int = 2, seed: int = 242, kind: str = "rf", window_days: int | None = None,
-                 frozen: bool = False, size: int = 20, depth: int = 4) -> DataFrame:
+                 frozen: bool = False, size: int = 20, depth: int = 4, store=None) -> DataFrame:
     """Predictions of every row by the newest model whose cutoff is on or before it.
 
     Training rows of a cutoff end before it by the purge gap, so no label reaches into the rows it
-    predicts.  ``frozen`` keeps the first model for all later rows.
+    predicts.  ``frozen`` keeps the first model for all later rows.  With a ``store`` (``ModelStore``) models of the same
+    cutoff and settings are loaded instead of fitted.
     """
     cuts = list(cutoffs)[:1] if frozen else list(cutoffs)
-    # every fit passes over its rows several times
-    slices = stage(training_rows(df, panel, cuts, horizon, window_days=window_days), "slices")
     key = [*panel.keys, panel.ts]
+
+    @cache
+    def slices() -> DataFrame:
+        # every fit passes over its rows several times
+        return stage(training_rows(df, panel, cuts, horizon, window_days=window_days), "slices")
+
+    def models(cut: str, task: str, label: str, **fit) -> list[PipelineModel]:
+        make = lambda: fit_bags(slices().filter(c("cutoff_ts") == F.lit(cut).cast("date")), features, label, key, bags, seed, f"{kind}_{task}", size=size, depth=depth, **fit)
+        if store is None:
+            return make()
+        settings = {"features": list(features), "label": label, "bags": bags, "seed": seed, "kind": f"{kind}_{task}", "size": size, "depth": depth, "horizon": horizon, "window_days": window_days}
+        return store.models(df.sparkSession, cut, settings, bags, make)
+
     out = None
     for i, cut in enumerate(cuts):
-        train = slices.filter(c("cutoff_ts") == F.lit(cut).cast("date"))
-        reg = fit_bags(train, features, label_reg, key, bags, seed, f"{kind}_reg", resample=False, size=size, depth=depth)
-        cls = fit_bags(train, features, label_cls, key, bags, seed, f"{kind}_cls", size=size, depth=depth)
+        reg = models(cut, "reg", label_reg, resample=False)
+        cls = models(cut, "cls", label_cls)
         test = df.filter(c(panel.ts) >= F.lit(cut).cast("date"))
         if i + 1 < len(cuts):
             test = test.filter(c(panel.ts) < F.lit(cuts[i + 1]).cast("date"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import training as tr
 from tidemark.operators.labels import forward_returns
+from tidemark.operators.model_store import ModelStore
 from tidemark.panel import DAILY
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
 from tidemark.plans.feature_queries import ORD
-from tidemark.stage import staged_once
+from tidemark.stage import shared_dir, staged_once
 
 c = F.col
 FEATURES = ["day_ret", "vol30", "slope", "gap_short", "gap_long"]
@@ -107,6 +110,22 @@ def walk_forward_predictions(spark, sf_dir):
     return tr.walk_forward(learning_rows(spark, sf_dir), DAILY, FEATURES, CUTS, "y", "up", bags=2, size=8, depth=3)
 
 
+@query("frozen_predictions", "series_id ts cutoff_ts seed pred:8 p_up:8")
+def frozen_predictions(spark, sf_dir):
+    """The first model keeps predicting after the second cutoff."""
+    return tr.walk_forward(learning_rows(spark, sf_dir), DAILY, FEATURES, CUTS, "y", "up", bags=1, size=8, depth=3, frozen=True)
+
+
+@query("model_store_log", "cutoff_ts kind depth action n")
+def model_store_log(spark, sf_dir):
+    """Three runs on one store: the second finds the models of the first, the third has another depth."""
+    store = ModelStore(f"{shared_dir(spark)}/tidemark/store-{uuid.uuid4().hex[:12]}")
+    for depth in (2, 2, 3):
+        tr.walk_forward(learning_rows(spark, sf_dir), DAILY, FEATURES, CUTS, "y", "up", bags=1, size=4, depth=depth, store=store)
+    setting = lambda name: F.get_json_object("settings", f"$.{name}")
+    return store.log(spark).groupBy("cutoff_ts", setting("kind").alias("kind"), setting("depth").cast("int").alias("depth"), "action").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _split(spark, sf_dir):
     d = learning_rows(spark, sf_dir)
     train = tr.training_rows(d, DAILY, CUTS[1:], 3)
