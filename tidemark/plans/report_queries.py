@@ -13,6 +13,7 @@ from tidemark.operators import decisions as dec
 from tidemark.operators import quantiles as qt
 from tidemark.operators import reporting as rep
 from tidemark.operators import robustness as rob
+from tidemark.operators.gram import gram
 from tidemark.panel import DAILY, Running
 from tidemark.plans import tables as t
 from tidemark.plans.catalog import query
@@ -188,6 +189,21 @@ def redundant_pairs(spark, sf_dir):
     return agg.redundant_pairs(t.order_bars(spark, sf_dir), _CC, 0.5)
 
 
+_ALL = [*_CC, "n_obs", *t.METRICS]
+_PAIRS = list(itertools.combinations(_ALL, 2))
+
+
+@query(
+    "all_correlations", "a b n corr:6",
+    f"WITH {t.sql_metric_panel(t.METRICS)}, w AS (SELECT [" + ", ".join(
+        f"{{'a': '{a}', 'b': '{b}', 'n': count(CASE WHEN {b} IS NOT NULL THEN {a} END), 'corr': {_corr_sql(a, b)}}}" for a, b in _PAIRS
+    ) + "] AS x FROM mp) SELECT p.a AS a, p.b AS b, p.n AS n, p.corr AS corr FROM (SELECT unnest(x) AS p FROM w) q WHERE p.n > 0",
+)
+def all_correlations(spark, sf_dir):
+    """Every pair of the numeric columns of the panel with its outside series, in one scan."""
+    return gram(t.metric_panel(spark, sf_dir, list(t.METRICS)), _ALL)
+
+
 @query(
     "leakage_screen", "a b corr:6",
     f"WITH {t.SQL_SIGNALS}, x AS (SELECT *, lead(price) OVER {ORD} / price - 1 AS target FROM signals) SELECT * FROM ("
