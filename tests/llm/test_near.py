@@ -94,7 +94,7 @@ def test_paragraphs(spark, docs, no_docs):
     assert got[1].n_removed == 0 and got[1].n_repeated >= 50 and got[2].text == "" and got[3].n_removed >= 40 and "w999" in got[3].text
     assert got[4].text is None and got[5].text == "" and got[12].n_removed == 0 and got[6].n_removed == 0 and got[6].n_repeated == 0
     assert paragraphs.drop_repeats(no_docs).count() == 0
-    assert paragraphs.bands_for(80, 4, 0.9995) == 15 and paragraphs.bands_for(80, 1, 0.95) == 2
+    assert paragraphs.bands_for(80, 4, 0.9995) == 15 and paragraphs.bands_for(80, 2, 0.95) == 3
 
 
 def pieces(words, reach):
