@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.panel import CHUNK, Panel
+from tidemark.stage import stage
 
 c = F.col
 NATS, GROUP = 30.0, 128
@@ -45,7 +46,7 @@ def _fold(steps: Column, first: Column, m: str, v: str) -> Column:
 
 def affine(df: DataFrame, panel: Panel, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """Adds the recursive average of x for each name: (x, alpha).  Null and NaN are no values; rows before the
-    first value of a series are null.  One shuffle of the rows; a chunk is one small row after that."""
+    first value of a series are null.  Rows are written once with what their block adds; a chunk is one small row after that."""
     keys, names = list(panel.keys), list(specs)
     inputs = sorted({x for x, _ in specs.values()})
     w = Window.partitionBy(*keys, CHUNK).orderBy(panel.ts)
@@ -78,6 +79,9 @@ def affine(df: DataFrame, panel: Panel, specs: dict[str, tuple[str, float]]) ->
     rows = rows.withColumns({f"_e_{n}": ~F.lead(f"_n_{n}").over(w).eqNullSafe(c(f"_n_{n}")) for n in names})
     rows = rows.drop(*[f"_{k}_{n}" for k in ("u", "a", "b", "i", "l", "0i", "0l", "1i", "1l") for n in names])
 
+    # written: chunk summaries and rows both follow from it, and recursive columns of recursive columns would plan it again and again
+    rows = stage(rows.drop(*[f"_k_{x}" for x in inputs]), "recursive")
+
     known = {x: c(f"_x_{x}").isNotNull() for x in inputs}
     chunks = rows.groupBy(*keys, CHUNK).agg(
         *[F.min_by(f"_x_{x}", F.when(known[x], c("_at"))).alias(f"_x_{x}") for x in inputs],
