@@ -1,6 +1,7 @@
 """Extraction, token counts, context-tree scores and the pipeline against plain versions."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,6 +74,94 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert got == want
 
 
+def test_near_copies_keep_their_article(spark):
+    """Twelve pages of one article with another date each; one of them also edits the article; a host of nothing but edited copies."""
+    article = "<article><h1>The title</h1>" + "".join(f"<p>paragraph {i} tells the same to all who read it</p>" for i in range(5)) + "<div class=when>printed at %d</div></article>"
+    rows = [(i, f"http://dates.example/{i}", article % i) for i in range(12)]
+    rows[3] = (3, rows[3][1], rows[3][2].replace("paragraph 2 tells", "paragraph 2 told"))
+    edited = [("<article>" + "".join(f"<p class=c{k}>part {k} of an article{' with a long edit' * (k == i % 4)}, {i * (k == i % 4)}</p>" for k in range(4)) + "</article>") for i in range(40)]
+    rows += [(100 + i, f"http://edits.example/{i}", x) for i, x in enumerate(edited)]
+    for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        html = dict((x[0], x[2]) for x in rows)[r.page_id]
+        assert r.text.split("\n") == [t for _, t in styletree.Page(html).blocks]
+
+
+@pytest.mark.parametrize("n", [5, 7, 9, 12, 40])
+def test_labels_stay_with_what_they_name(spark, n):
+    """Recipes whose headings and row labels are the same on all pages; the line after them is not theirs."""
+    page = lambda i: (
+        f"<article><h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>{i} eggs and flour</li></ul><h2>Method</h2><p>beat all of it for {i} minutes</p>"
+        f"<table><tr><th>Serves</th><td>{i} or {i + 1}</td></tr></table><h2>Stay</h2><div class=more>Read on</div></article>"
+    )
+    rows = [(i, f"http://food.example/{i}", page(i)) for i in range(n)]
+    for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        want = [f"Dish {i}", "Ingredients", f"{i} eggs and flour", "Method", f"beat all of it for {i} minutes", "Serves", f"{i} or {i + 1}"]
+        assert r.text == "\n".join(want + ["Stay", "Read on"] * (n < 7)), n
+
+
+def plain_extract(rows):
+    """The style tree of each host in plain loops: (page_id, url, html) -> page_id -> text."""
+    hosts = defaultdict(list)
+    for page_id, url, html in rows:
+        hosts[url.split("/")[2]].append((page_id, styletree.Page(html)))
+    out = {}
+    for pages in hosts.values():
+        bodies = [tuple(sorted({t for _, t in p.blocks}, key=lambda x: (-len(x), x))[:3]) for _, p in pages]
+        weight = Counter(bodies)
+        seen, styles, kinds = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+        for (_, p), b in zip(pages, bodies):
+            for node, text in set(p.blocks):
+                seen[node][text] += 1 / weight[b]
+            for node, under in p.children.items():
+                styles[node][frozenset(under)] += 1 / weight[b]
+                kinds[node] |= {frozenset(under)} - {frozenset()}
+        low = set()
+        for node, by in styles.items():
+            m = round(sum(by.values()), 5)
+            if m <= 1:
+                continue
+            entropy = -sum(n / m * math.log(n / m) for n in by.values()) / math.log(m)
+            means = [max(math.log(n), 0) for n in seen[node].values()]
+            content = 1 - (sum(means) / len(means) if means else 0) / math.log(m)
+            g = 0.9 ** len(kinds[node])
+            if (2 + m * ((1 - g) * entropy + g * content)) / (2 + m) < 0.25:
+                low.add(node)
+        for page_id, p in pages:
+            stay = [node not in low for node, _ in p.blocks]
+            most = sorted({t for _, t in p.blocks}, key=lambda x: (-len(x), x))[:3]
+            lost = sum(len(t) for t in most if t not in {x for (_, x), ok in zip(p.blocks, stay) if ok})
+            if 2 * lost > sum(map(len, most)):
+                stay = [True] * len(stay)
+            for i in range(len(stay)):
+                if p.labels[i] and not stay[i]:
+                    after = [stay[j] for j in range(i + 1, len(stay)) if not p.labels[j]]
+                    stay[i] = bool(after) and after[0]
+            out[page_id] = "\n".join(t for (_, t), ok in zip(p.blocks, stay) if ok)
+    return out
+
+
+def test_extraction_equals_plain_loops(spark):
+    rng = random.Random(5)
+    rows = []
+    for h in range(6):
+        tops = [f"notice {k} of site {h}" for k in range(3)]
+        for i in range(rng.choice([3, 8, 15, 40])):
+            if i and rng.random() < 0.3:  # a copy, some with another counter
+                html = rng.choice(rows)[2].replace("seen 1", "seen 2")
+            else:
+                parts = [f"<div class=top>{rng.choice(tops[: 1 + h % 3])}</div>", f"<h2>{rng.choice(['About', 'Story'])}</h2>"]
+                parts += [f"<p>{' '.join(rng.choice('abcdefgh') * rng.randint(2, 9) for _ in range(rng.randint(1, 20)))}</p>" for _ in range(rng.randint(0, 4))]
+                parts += [f"<ul class=links>{''.join(f'<li>{x}</li>' for x in ('home', 'shop', 'mail'))}</ul>", "<div class=count>seen 1</div>"]
+                html = "<body>" + "".join(parts if rng.random() < 0.8 else rng.sample(parts, len(parts)))
+            rows.append((len(rows), f"http://h{h}.example/{i}", html))
+    rows.append((len(rows), "http://long.example/", "<p>" + "word and more " * 300_000 + "</p>"))
+    got = {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = plain_extract(rows)
+    assert got == want
+    assert sum(len(styletree.Page(x[2]).blocks) for x in rows) > sum(len(t.split("\n")) for t in want.values())
+
+
 def test_importance_is_the_entropy_formula(spark):
     html = ["<div><p>a</p></div>", "<div><p>a</p><h2>b</h2></div>", "<div><p>a</p><p>c</p></div>", "<div><p>d</p></div>"]
     d = spark.createDataFrame([("http://x/", h) for h in html], "url string, html string")

@@ -13,11 +13,22 @@ element, what stands outside of it has importance 0 as well.  A class or id decl
 element does not hold the page's main, most of its text, or an article with more text than stands free
 of such elements: wrappers of a page are often named after the parts it has.
 
-Pages of a host whose blocks have the same texts (repeated rows, session ids, print views) are copies:
-together they weigh as one page in both entropies, and each gets the verdicts of that tree.  Only the
-weights of copies are joined to the pages, so what is shuffled does not grow by them.
+Pages of a host with the same body, their ``BODY`` longest blocks, are copies (repeated rows, session
+ids, print views, other dates or counters): together they weigh as one page in both entropies, and each
+gets the verdicts of that tree.  An importance is shrunk towards 1 by the number of pages m behind it,
+(prior + m * importance) / (prior + m), so a node that few pages have needs more evidence and no host is
+left out for its size.
+
+What a page loses is its lesser part: where low branches hold most of its body, the tree has taken
+copies of an article for boilerplate, and the page keeps all.  Headings, column and row labels, terms and
+captions repeat on pages of one kind although they belong to what follows; such a block of a low branch
+goes only if the next block that is no label goes as well, or if none follows.
+
+Each page is parsed once; its blocks are written, and entropies and texts are taken from there.  The
+low nodes of a host are written too, so Spark knows their size when it chooses the join.
 
 Rows: a null or empty html gives an empty text; a null url is the host ''.  Broken markup is read as far as it goes: unclosed elements end with the page.
+Repeated rows are copies and keep a row each; other columns of the pages are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +46,7 @@ from tidemark.llm.urls import host_of
 from tidemark.stage import stage
 
 c = F.col
-THRESHOLD, LEAST_PAGES, GAMMA, SALTS = 0.25, 10, 0.9, 16
+THRESHOLD, PRIOR, GAMMA, SALTS, BODY = 0.25, 2.0, 0.9, 16, 3
 
 # Element names of HTML by what they do to a page's text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
@@ -54,6 +65,8 @@ OTHERS_WORDS = set("cookie cookies consent gdpr related recommended recommendati
 #: What follows one of these in a class says what a page has or lacks.
 STATE_WORDS = set("no not has have with without".split())
 ARTICLE = {"article", "main"}
+#: Elements that name what follows them.
+LABELS = set("h1 h2 h3 h4 h5 h6 th dt caption figcaption summary legend".split())
 #: Opening one of these ends an open element of the given names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -88,14 +101,15 @@ def _attributes(tag: str, text: str) -> tuple[str, bool, set[str]]:
 
 
 class Page:
-    """``blocks``: (style node, text) of the page's blocks outside of elements without content, in order;
-    ``children``: style node -> styles of its child elements."""
+    """``blocks``: (style node, text) of the page's blocks outside of elements without content, in order, and
+    ``labels``, whether each is a label; ``children``: style node -> styles of its child elements."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[int, str]] = []
+        self.labels: list[bool] = []
         self.children: dict[int, set[str]] = {}
-        # (style node, text, inside an article, named elements around it) and (style node, child style, the same)
-        self._found: list[tuple[int, str, bool, tuple[int, ...]]] = []
+        # (style node, text, inside an article, named elements around it, label) and (style node, child style, named elements)
+        self._found: list[tuple[int, str, bool, tuple[int, ...], bool]] = []
         self._styles: list[tuple[int, str | None, tuple[int, ...]]] = []
         # of each element whose class or id names no content: whether the words name texts by others; those with a main
         self._named: list[bool] = []
@@ -114,7 +128,7 @@ class Page:
         if self._named:
             size, held, articles = 0, [0] * len(self._named), [0] * len(self._named)
             free = {False: 0, True: 0}
-            for _node, text, inside, named in self._found:
+            for _node, text, inside, named, _label in self._found:
                 size += len(text)
                 for i in named:
                     held[i] += len(text)
@@ -128,7 +142,9 @@ class Page:
                     gone.add(i)
         found = [x for x in self._found if gone.isdisjoint(x[3])]
         inside = any(x[2] for x in found)
-        self.blocks = [(node, text) for node, text, within, _ in found if within or not inside]
+        found = [x for x in found if x[2] or not inside]
+        self.blocks = [(x[0], x[1]) for x in found]
+        self.labels = [x[4] for x in found]
         for node, style, named in self._styles:
             if gone.isdisjoint(named):
                 own = self.children.setdefault(node, set())
@@ -160,11 +176,11 @@ class Page:
 
     def _flush(self) -> None:
         if self._parts:
-            _name, node, out, inside, named = self._stack[-1]
+            name, node, out, inside, named = self._stack[-1]
             if not out:
                 text = " ".join(entities.unescape("".join(self._parts)).split())
                 if text:
-                    self._found.append((node, text, inside, named))
+                    self._found.append((node, text, inside, named, name in LABELS))
                     self._styles.append((node, None, named))
             self._parts = []
 
@@ -220,55 +236,67 @@ class Page:
                 return
 
 
-def _copy_key(host: str, page: Page) -> int:
-    return _number(host, [text for _, text in page.blocks])
+def body(texts: list[str]) -> list[str]:
+    """The longest different texts, longest first, equal lengths in order of code points."""
+    return sorted(set(texts), key=lambda x: (-len(x), x))[:BODY]
 
 
-def _copy_keys(batches):
-    for batch in batches:
-        keys = [_copy_key(host, Page(html)) for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["copy"])
+def kept(blocks: list[tuple[int, str]], labels: list[bool], low: set[int]) -> list[str]:
+    """Texts of the blocks that stay where the nodes ``low`` are found to be of low importance."""
+    texts = [text for _, text in blocks]
+    if low.isdisjoint(node for node, _ in blocks):
+        return texts
+    stay = {text for node, text in blocks if node not in low}
+    most = body(texts)
+    if 2 * sum(len(x) for x in most if x not in stay) > sum(len(x) for x in most):
+        return texts
+    out, follows = [], False
+    for (node, text), label in zip(reversed(blocks), reversed(labels)):
+        high = node not in low
+        if not label:
+            follows = high
+        if high or (label and follows):
+            out.append(text)
+    return out[::-1]
+
 
+_NODE = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("label", pa.bool_())]))
+_STYLE = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("leaf", pa.bool_())]))
+_PARSED = "host string, copy long, blocks array<struct<node long, text string, label boolean>>, styles array<struct<node long, style long, leaf boolean>>"
 
-def _features(batches):
+
+def _parsed(batches):
     for batch in batches:
-        copies, nodes, styles = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        copies, blocks, styles = [], [], []
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(html)
-            copies.append(_copy_key(host, page))
-            seen = {(node, _number(text)) for node, text in page.blocks}
-            nodes.append([{"node": n, "feature": f} for n, f in seen])
+            copies.append(_number(host, body([text for _, text in page.blocks])))
+            blocks.append([{"node": n, "text": t, "label": label} for (n, t), label in zip(page.blocks, page.labels)])
             styles.append([{"node": n, "style": _number(sorted(s)), "leaf": not s} for n, s in page.children.items()])
-        pair = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64())]))
-        other = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("leaf", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.int64()), pa.array(nodes, pair), pa.array(styles, other)], names=["host", "copy", "features", "styles"])
+        own = [x for x in ("page_id", "url") if x in batch.schema.names]
+        columns = [batch.column(x) for x in own] + [batch.column("host"), pa.array(copies, pa.int64()), pa.array(blocks, _NODE), pa.array(styles, _STYLE)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*own, "host", "copy", "blocks", "styles"])
 
 
 def _texts(batches):
     for batch in batches:
         out = []
-        for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            gone = set(low or ())
-            out.append("\n".join(text for node, text in Page(html).blocks if node not in gone))
+        for blocks, low in zip(batch.column("blocks").to_pylist(), batch.column("low").to_pylist()):
+            out.append("\n".join(kept([(b["node"], b["text"]) for b in blocks], [b["label"] for b in blocks], set(low or ()))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+            [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
-def importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """``host``, ``node``, ``pages`` (that have the node, copies together one), ``presentation``, ``content``, ``importance``."""
-    schema = "host string, copy long, features array<struct<node long, feature long>>, styles array<struct<node long, style long, leaf boolean>>"
-    d = pages.select(host_of(c("url")).alias("host"), c("html").cast("string").alias("html"))
+def _importance(parsed: DataFrame, gamma: float) -> DataFrame:
     # written, so that its size is known before the join
-    several = stage(d.mapInArrow(_copy_keys, "copy long").groupBy("copy").agg(F.count("*").alias("n_copies")).where("n_copies > 1"), "page-copies")
-    d = d.mapInArrow(_features, schema).join(several, "copy", "left")
-    # one exploded form for both kinds of evidence, so each page is read once
-    kinds = F.concat(
-        F.transform("features", lambda x: F.struct(x["node"].alias("node"), x["feature"].alias("what"), F.lit(True).alias("text"), F.lit(False).alias("leaf"))),
-        F.transform("styles", lambda x: F.struct(x["node"].alias("node"), x["style"].alias("what"), F.lit(False).alias("text"), x["leaf"].alias("leaf"))),
-    )
-    n = d.select("host", (1.0 / F.coalesce("n_copies", F.lit(1))).alias("w"), F.explode(kinds).alias("e")).groupBy("host", "e.node", "e.what", "e.text", "e.leaf")
+    several = stage(parsed.groupBy("copy").agg(F.count("*").alias("n_copies")).where("n_copies > 1"), "page-copies")
+    # one exploded form for both kinds of evidence
+    texts = F.array_distinct(F.transform("blocks", lambda x: F.struct(x["node"].alias("node"), F.xxhash64(x["text"]).alias("what"), F.lit(True).alias("text"), F.lit(False).alias("leaf"))))
+    styles = F.transform("styles", lambda x: F.struct(x["node"].alias("node"), x["style"].alias("what"), F.lit(False).alias("text"), x["leaf"].alias("leaf")))
+    d = parsed.select("host", "copy", F.concat(texts, styles).alias("kinds")).join(several, "copy", "left")
+    n = d.select("host", (1.0 / F.coalesce("n_copies", F.lit(1))).alias("w"), F.explode("kinds").alias("e")).groupBy("host", "e.node", "e.what", "e.text", "e.leaf")
     # rounded, so that the shares of copies add up to whole pages in any order
     n = n.agg(F.round(F.sum("w"), 6).alias("n")).where("n > 0")
     n = n.withColumn("nlog", c("n") * F.ln("n"))
@@ -285,11 +313,22 @@ def importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
     return g.withColumn("importance", (1 - c("_g")) * c("presentation") + c("_g") * c("content")).drop("_g")
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
+def _parse(pages: DataFrame, *own) -> DataFrame:
+    schema = ("page_id long, url string, " if own else "") + _PARSED
+    return pages.select(*own, host_of(c("url")).alias("host"), c("html").cast("string").alias("html")).mapInArrow(_parsed, schema)
+
+
+def importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """``host``, ``node``, ``pages`` (that have the node, copies together one), ``presentation``, ``content``, ``importance``."""
+    return _importance(stage(_parse(pages), "page-blocks"), gamma)
+
+
+def extract(pages: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR, gamma: float = GAMMA) -> DataFrame:
     """``pages`` (``page_id``, ``url``, ``html``) -> ``page_id``, ``url``, ``text``, ``n_chars``."""
-    low = importance(pages, gamma).where((c("pages") >= least_pages) & (c("importance") < threshold))
-    low = low.groupBy("host").agg(F.collect_list("node").alias("low"))
-    low = low.select(c("host").alias("_h"), "low", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_s"))
-    d = pages.select("page_id", "url", c("html").cast("string").alias("html"), host_of(c("url")).alias("_host"), F.pmod(F.xxhash64("html", "url"), F.lit(SALTS)).cast("int").alias("_p"))
-    d = d.join(low, (c("_host") == c("_h")) & (c("_p") == c("_s")), "left").select("page_id", "url", "html", "low")
+    parsed = stage(_parse(pages, c("page_id").cast("long").alias("page_id"), c("url").cast("string").alias("url")), "page-blocks")
+    low = _importance(parsed, gamma).where((prior + c("pages") * c("importance")) / (prior + c("pages")) < threshold)
+    low = stage(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low-nodes")
+    low = low.select("host", "low", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("part"))
+    d = parsed.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url", "copy"), F.lit(SALTS)).cast("int").alias("part"))
+    d = d.join(low, ["host", "part"], "left").select("page_id", "url", "blocks", "low")
     return d.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
