@@ -49,6 +49,34 @@ def brute(rows, percent):
     return comp
 
 
+@pytest.mark.parametrize("seed, cell", [(1, 1000), (2, 4), (3, 1)])
+def test_links_in_mixed_buckets_equal_brute_force(spark, monkeypatch, seed, cell):
+    """Families whose members share edits with some of the others, so that the bounds of pairs are close; one bucket holds two families."""
+    monkeypatch.setattr(links, "CELL", cell)
+    rng = random.Random(seed)
+    sets, keys = {}, []
+    for f in range(4):
+        base = {rng.getrandbits(62) for _ in range(rng.choice([9, 14, 80]))}
+        pool = [rng.getrandbits(62) for _ in range(10)]
+        for _ in range(25):
+            gone = set(rng.sample(sorted(base)[: len(base) // 2], rng.randint(0, 3)))
+            node = len(sets)
+            sets[node] = (base - gone) | set(rng.sample(pool, rng.randint(0, 3))) | {rng.getrandbits(62) for _ in range(rng.randint(0, 1))}
+            keys += [(f // 2, node), (10 + 5 * f + rng.randint(0, 4), node)]
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in range(a):
+                k = len(sets[a] & sets[b])
+                if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                    want[a] = want[b] = min(want[a], want[b])
+    rows = spark.createDataFrame(list({i: sorted(x) for i, x in sets.items()}.items()), "node long, shingles array<long>")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "node long, n int")
+    got = links.linked_classes(spark.createDataFrame(keys, "key long, node long"), sizes, lambda nodes: rows.join(nodes, "node"), 80)
+    got = {r.node: r.component for r in got.collect()}
+    assert {i: got.get(i, i) for i in sets} == want and len(set(want.values())) > 4
+
+
 def test_near_documents(spark, docs, no_docs):
     got = [r.asDict() for r in minhash.near_duplicates(docs).collect()]
     assert len(got) == docs.count()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.stage import stage
 
 c = F.col
+#: Open sets of a bucket that meet in one group.
+CELL = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,6 +63,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "overlap", (c("_n") - c("overlap")).alias("total"), "gap_a", "gap_b").withColumn("linked", 100 * c("overlap").cast("long") >= percent * c("total").cast("long"))
 
 
+def most_shared() -> Column:
+    """How many shingles x and y can share at most, told by their comparisons with one set o: ``original`` (size of o), ``lacks``
+    and ``gap`` (how much of o is lacking, and its cells), ``over`` and ``more`` (how much is not in o, and its cells), ``extra`` (so much
+    of ``over`` as some other set has) and ``common`` (so much of the set)."""
+    only = lambda x, y: F.bit_count(c(x).bitwiseAND(F.bitwise_not(c(y))))
+    apart = F.when(c("x.gap").bitwiseAND(c("y.gap")) == 0, c("x.lacks") + c("y.lacks")).otherwise(0)
+    lacking = F.greatest(apart, c("x.lacks") + only("y.gap", "x.gap"), c("y.lacks") + only("x.gap", "y.gap"))
+    outside = F.least("x.extra", "y.extra", c("x.over") - only("x.more", "y.more"), c("y.over") - only("y.more", "x.more"))
+    return F.least(c("x.original") - lacking + outside, "x.common", "y.common")
+
+
 def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, known: DataFrame | None = None) -> DataFrame:
     """Verified components of sets that meet in hash tables: ``node``, ``component`` of all linked nodes.
 
@@ -75,8 +88,10 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
        the likeliest original of a family of copies, and merged again;
     3. in buckets that are still mixed every pair of different components is compared, unless it cannot be
        linked.  With o the set of step 2, which both were compared with, x and y share at most what o
-       has less what x lacks less what y lacks (more only if these gaps can overlap, which hash cells
-       tell), and outside of o at most what neither has for itself.
+       has less what either lacks of it, and outside of o at most what neither has for itself.  Hash cells
+       bound both from the two comparisons alone: a cell that only one gap fills is at least one more
+       that is lacking, a cell that only one set's own shingles fill at least one that is not shared.  A
+       bucket of more than ``CELL`` open sets is cut into parts, and each pair of parts is a group of its own.
     """
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_top")).where("lead != _top").drop("_top")
@@ -90,10 +105,10 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     def mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
         """Rows of buckets with two components or more, with their components."""
         rows = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
+        several = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("held")).where("_lo != _hi").select("key", "held")
         return rows.join(several, "key")
 
-    left = stage(mixed(shared.select("key", "node"), comp).drop("component").join(sizes, "node"), "mixed")
+    left = stage(mixed(shared.select("key", "node"), comp).drop("component", "held").join(sizes, "node"), "mixed")
     own = sets.join(left.select("node").distinct(), "node").select("node", F.explode("shingles").alias("s"))
     private = own.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("_top")).where("node = _top").groupBy("node").agg(F.count("*").alias("u"))
     left = left.join(private, "node", "left").withColumn("common", c("n") - F.coalesce("u", F.lit(0)))
@@ -110,19 +125,20 @@ def linked_classes(keys: DataFrame, sizes: DataFrame, sets_of, percent: int, kno
     left = left.withColumns(
         {
             "original": c("total") + c("overlap") - c("n"), "lacks": c("total") - c("n"), "gap": F.when(c("near") == c("a"), c("gap_a")).otherwise(c("gap_b")),
-            "extra": c("common") - c("overlap"),
+            "extra": c("common") - c("overlap"), "over": c("n") - c("overlap"), "more": F.when(c("near") == c("a"), c("gap_b")).otherwise(c("gap_a")),
         }
-    ).select("key", "node", "n", "common", "original", "lacks", "gap", "extra")
+    ).select("key", "node", "n", "common", "original", "lacks", "gap", "extra", "over", "more")
     left = mixed(left, comp)
     # a pair is emitted in the first of the buckets its sets share; a set is in one bucket per table
     left = stage(left.join(left.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    both = F.when(c("x.gap").bitwiseAND(c("y.gap")) == 0, F.lit(0)).otherwise(F.least("x.lacks", "y.lacks"))
-    inside = c("x.original") - c("x.lacks") - c("y.lacks") + both
-    most = F.least(inside + F.least("x.extra", "y.extra"), "x.common", "y.common")
+    # every set meets its bucket part by part: one part, and no copy of a row, up to CELL sets
+    parts = F.ceil(c("held") / CELL).cast("int")
+    left = left.withColumns({"part": F.pmod(F.xxhash64("node"), parts).cast("int"), "each": F.sequence(F.lit(0), parts - 1)})
+    x = left.withColumn("other", F.explode("each")).alias("x")
+    y = left.withColumnRenamed("part", "other").withColumn("part", F.explode("each")).alias("y")
     near = (
-        (c("x.key") == c("y.key")) & (c("x.component") < c("y.component")) & (100 * most >= percent * (c("x.n") + c("y.n") - most))
-        & (c("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys")))
+        (c("x.key") == c("y.key")) & (c("x.part") == c("y.part")) & (c("x.other") == c("y.other")) & (c("x.component") < c("y.component"))
+        & (100 * most_shared() >= percent * (c("x.n") + c("y.n") - most_shared())) & (c("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys")))
     )
     rest = x.join(y, near).select(*ordered(c("x.node"), c("y.node"))).distinct()
     third = verified(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
