@@ -59,6 +59,16 @@ def test_resumable_dump(spark, tmp_path):
     assert spark.read.parquet(path).count() == 6
 
 
+def test_resumable_dump_of_odd_names(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    rows = [("a b", 1), ("x/y=z%", 2), (None, 3), ("", 4), ("ü:1", 5)]
+    df = spark.createDataFrame(rows, "name string, v long")
+    assert files.dump_missing_partitions(df.where("v != 1"), path, "name") == 3
+    assert files.dump_missing_partitions(df, path, "name") == 1
+    assert files.dump_missing_partitions(df, path, "name") == 0
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_upsert_rules(spark):
     old = frame(spark, [("a", day(0), 1.0), ("a", day(1), 2.0)])
     new = frame(spark, [("a", day(1), 9.0), ("a", day(2), 3.0)])

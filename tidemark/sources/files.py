@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the folder that Spark writes a null partition value to.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """CSV with a declared schema.  Junk lines (extra headers) do not parse and come out as null
@@ -97,23 +101,27 @@ def append_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return old.unionByName(add)
 
 
+def written_partitions(spark, path: str, by: str) -> set[str]:
+    """Values of ``by`` as the folder names of a partitioned table give them; none where nothing is written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return {unquote(x.removeprefix(f"{by}=")) for x in names if x.startswith(f"{by}=")}
+
+
 def dump_missing_partitions(df: DataFrame, path: str, by: str) -> int:
     """Resumable dump: partitions already written are skipped; returns how many were added.
 
-    Only the partition values (directory names) are compared, never the data.
+    Only the folder names are compared, never the data, and the input is computed once, by the write.
+    A null or empty ``by`` is the partition that Spark names for it.
     """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(by).distinct()
-        todo = df.join(done, by, "left_anti")
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        todo = df
-    n = todo.select(by).distinct().count()
-    if n:
-        todo.write.mode("append").partitionBy(by).parquet(path)
-    return n
+    done = written_partitions(spark, path, by)
+    value = F.col(by).cast("string")
+    name = F.when(value.isNull() | (value == ""), _NO_VALUE).otherwise(value)
+    todo = df.where(~name.isin(sorted(done))) if done else df
+    todo.write.mode("append").partitionBy(by).parquet(path)
+    return len(written_partitions(spark, path, by) - done)
 
 
 def summary_document(df: DataFrame, path: str) -> None:
